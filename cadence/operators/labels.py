@@ -51,7 +51,7 @@ def score_distribution(scored: DataFrame) -> DataFrame:
     )
     quantiles = {"median": 0.5, **{f"p{p}": p / 100 for p in REPORT_PERCENTILES}}
     found = scalar_struct(exact_quantiles(scored, "activity_score", quantiles))
-    return shape.select("*", *[found[name].alias(name) for name in quantiles])
+    return shape.withColumn("_found", found).select(*shape.columns, *[F.col("_found")[n].alias(n) for n in quantiles])
 
 
 def label_distribution(labeled: DataFrame) -> DataFrame:

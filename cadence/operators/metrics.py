@@ -50,12 +50,12 @@ def array_score(values: Column) -> Column:
 
 def scored_predictions(predictions: DataFrame, threshold: Column) -> DataFrame:
     """Add ``score``, ``label`` (of the target) and ``predicted`` (of the prediction)."""
-    score, truth = array_score(F.col("prediction")), array_score(F.col("target"))
-    return predictions.select(
-        "*",
+    score, truth, limit = array_score(F.col("prediction")), array_score(F.col("target")), F.col("_limit")
+    return predictions.withColumn("_limit", threshold).select(
+        *predictions.columns,
         score.alias("score"),
-        (truth >= threshold).cast("int").alias("label"),
-        (score >= threshold).cast("int").alias("predicted"),
+        (truth >= limit).cast("int").alias("label"),
+        (score >= limit).cast("int").alias("predicted"),
     )
 
 

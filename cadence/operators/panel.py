@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.functions.columns import period, period_quarter, period_year
+from cadence.functions.columns import period, period_quarter, period_year, scalar_struct
 from cadence.functions.ranked import exact_quantiles
 from cadence.schemas import (
     COMMIT,
@@ -291,8 +291,8 @@ def panel_summary(panel: DataFrame) -> DataFrame:
     melted = panel.select(F.explode(F.array(*[_feature_value(c) for c in features])).alias("m")).select("m.*")
     per_feature = melted.groupBy("feature").agg(F.avg("value").alias("mean"), F.max("value").alias("max"))
     medians = exact_quantiles(melted, "value", {"median": 0.5}, by=["feature"])
-    whole = size.select(F.struct(*size.columns)).scalar()
-    return per_feature.join(medians, "feature", "left").select(
+    whole = F.col("_whole")
+    return per_feature.join(medians, "feature", "left").withColumn("_whole", scalar_struct(size)).select(
         "feature",
         "mean",
         "median",

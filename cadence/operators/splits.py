@@ -31,7 +31,11 @@ def split_name(index: Column, cuts: Column) -> Column:
 def temporal_split(
     sequences: DataFrame, train: float = 0.85, dev: float = 0.95, index: str = "target_quarter_index"
 ) -> DataFrame:
-    return sequences.withColumn("split", split_name(F.col(index), cutoffs(sequences, (train, dev), index)))
+    return (
+        sequences.withColumn("_cuts", cutoffs(sequences, (train, dev), index))
+        .withColumn("split", split_name(F.col(index), F.col("_cuts")))
+        .drop("_cuts")
+    )
 
 
 def ordered_cut(sequences: DataFrame, share: float = 0.9, index: str = "target_quarter_index") -> DataFrame:

@@ -25,9 +25,8 @@ def with_split(indexed: DataFrame, spec: SequenceSpec, shares: Sequence[float] =
     """Panel rows with ``split`` set on target rows and NULL elsewhere."""
     flagged = indexed.withColumn("_target", is_target(spec))
     cuts = cutoffs(flagged.filter("_target"), shares, "quarter_index")
-    return flagged.withColumn("split", F.when(F.col("_target"), split_name(F.col("quarter_index"), cuts))).drop(
-        "_target"
-    )
+    named = F.when(F.col("_target"), split_name(F.col("quarter_index"), F.col("_cuts")))
+    return flagged.withColumn("_cuts", cuts).withColumn("split", named).drop("_target", "_cuts")
 
 
 def history_weight(spec: SequenceSpec, chosen: Column) -> Column:
@@ -50,8 +49,12 @@ def weighted_moments(df: DataFrame, weight: str, columns: Sequence[str] = FEATUR
     """
     w = F.col(weight)
     used = df.filter(w > 0)
-    means = scalar_struct(used.agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in columns]))
-    return used.agg(
+    means = F.col("_means")
+    # One subquery in one column: repeating it per feature would repeat its plan.
+    centred = used.withColumn(
+        "_means", scalar_struct(used.agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in columns]))
+    )
+    return centred.agg(
         *[
             F.struct(
                 F.any_value(means[c]).alias("mean"),
@@ -135,19 +138,23 @@ def split_stats(
 
 def zscore(df: DataFrame, stats: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     """Scale plain columns with a one-row statistics table."""
-    s = scalar_struct(stats)
-    return df.withColumns({c: (F.col(c) - s["mean"][i]) / s["std"][i] for i, c in enumerate(columns)})
+    s = F.col("_stats")
+    scaled = {c: (F.col(c) - s["mean"][i]) / s["std"][i] for i, c in enumerate(columns)}
+    return df.withColumn("_stats", scalar_struct(stats)).withColumns(scaled).drop("_stats")
 
 
 def denormalise(df: DataFrame, stats: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
-    s = scalar_struct(stats)
-    return df.withColumns({c: F.col(c) * s["std"][i] + s["mean"][i] for i, c in enumerate(columns)})
+    s = F.col("_stats")
+    restored = {c: F.col(c) * s["std"][i] + s["mean"][i] for i, c in enumerate(columns)}
+    return df.withColumn("_stats", scalar_struct(stats)).withColumns(restored).drop("_stats")
 
 
 def attach_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     """``_mean`` and ``_std`` array columns from the one-row statistics table."""
-    s = scalar_struct(stats)
-    return df.withColumns({"_mean": s["mean"], "_std": s["std"]})
+    both = scalar_struct(stats.select("mean", "std"))
+    return df.withColumn("_stats", both).withColumns(
+        {"_mean": F.col("_stats.mean"), "_std": F.col("_stats.std")}
+    ).drop("_stats")
 
 
 def zscore_sequences(sequences: DataFrame, stats: DataFrame) -> DataFrame:
@@ -164,15 +171,14 @@ def zscore_sequences(sequences: DataFrame, stats: DataFrame) -> DataFrame:
 def standardize(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Zero mean and unit population deviation; a constant column is only centred."""
     base = df if fit_on is None else fit_on
-    s = scalar_struct(
+    fitted = scalar_struct(
         base.agg(
             *[F.avg(c).alias(f"mean_{c}") for c in columns],
             *[F.stddev_pop(c).alias(f"std_{c}") for c in columns],
         )
     )
-    return df.withColumns(
-        {
-            c: (F.col(c) - s[f"mean_{c}"]) / F.when(s[f"std_{c}"] == 0, 1.0).otherwise(s[f"std_{c}"])
-            for c in columns
-        }
-    )
+    s = F.col("_fitted")
+    scaled = {
+        c: (F.col(c) - s[f"mean_{c}"]) / F.when(s[f"std_{c}"] == 0, 1.0).otherwise(s[f"std_{c}"]) for c in columns
+    }
+    return df.withColumn("_fitted", fitted).withColumns(scaled).drop("_fitted")

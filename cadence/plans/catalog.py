@@ -27,6 +27,7 @@ from cadence.operators import splits as SP
 from cadence.operators import stats as S
 from cadence.plans.prepare import dataset_metadata
 from cadence.schemas import FEATURES, KEYS
+from cadence.session import materialize
 from cadence.sources import files
 from cadence.sources import mapping as M
 
@@ -72,12 +73,18 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.label_activity(M.panel(spark, sf_dir))
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.panel_index(Q.fill_panel(labeled(spark, sf_dir)))
+def indexed_and_limit(spark: SparkSession, sf_dir: str):
+    """Indexed panel and score threshold, from a labeled panel written once.
+
+    What follows reads the panel several times (cut-offs, statistics, forecasts);
+    the raw events are read for it only here.
+    """
+    saved = materialize(labeled(spark, sf_dir))
+    return Q.panel_index(Q.fill_panel(saved)), L.percentile_threshold(saved).scalar()
 
 
-def threshold(spark: SparkSession, sf_dir: str):
-    return L.percentile_threshold(scored(spark, sf_dir)).scalar()
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed_and_limit(spark, sf_dir)[0]
 
 
 def sequences(spark: SparkSession, sf_dir: str, spec: Q.SequenceSpec) -> DataFrame:
@@ -456,9 +463,9 @@ def class_counts(spark, sf_dir):
 
 @query
 def dataset_metadata_row(spark, sf_dir):
-    panel = indexed(spark, sf_dir)
+    panel, limit = indexed_and_limit(spark, sf_dir)
     split = SP.temporal_split(Q.build_sequences(panel, CAPPED))
-    row = dataset_metadata(panel, split, CAPPED, threshold(spark, sf_dir))
+    row = dataset_metadata(panel, split, CAPPED, limit)
     return row.withColumn("feature_names", F.array_join("feature_names", ","))
 
 
@@ -575,19 +582,19 @@ def scaled_forecast(spark, sf_dir):
 
 @query
 def forecast_labels(spark, sf_dir):
-    made = FC.panel_predictions("last", FC.panel_last(indexed(spark, sf_dir), FIXED))
-    return FC.forecast_to_label(made, threshold(spark, sf_dir), "prediction").select(
+    panel, limit = indexed_and_limit(spark, sf_dir)
+    made = FC.panel_predictions("last", FC.panel_last(panel, FIXED))
+    return FC.forecast_to_label(made, limit, "prediction").select(
         "repo_id", "target_year", "target_quarter", "forecast_score", "forecast_label"
     )
 
 
-def histories(spark, sf_dir):
+def histories(panel):
     """One request per repository: its newest one to six quarters, some with a malformed quarter."""
     number = F.col("repo_id").cast("bigint")
     newest = Window.partitionBy("repo_id").orderBy(F.col("year").desc(), F.col("quarter").desc())
     rows = (
-        indexed(spark, sf_dir)
-        .withColumn("_age", F.row_number().over(newest))
+        panel.withColumn("_age", F.row_number().over(newest))
         .filter(F.col("_age") <= number % 6 + 1)
         .withColumn(
             "_row",
@@ -602,7 +609,8 @@ def histories(spark, sf_dir):
 
 @query
 def forecast_activity(spark, sf_dir):
-    made = FC.forecast_activity(histories(spark, sf_dir), FC.MovingAverage(), threshold(spark, sf_dir))
+    panel, limit = indexed_and_limit(spark, sf_dir)
+    made = FC.forecast_activity(histories(panel), FC.MovingAverage(), limit)
     return made.select(
         "repo_id",
         "error",
@@ -623,21 +631,24 @@ def forecast_activity(spark, sf_dir):
 
 
 def predictions(spark, sf_dir):
-    return FC.predictions_by_horizon(sequences(spark, sf_dir, EVALUATED), FC.BASELINES, 4)
+    """Two-step baseline forecasts and the threshold."""
+    panel, limit = indexed_and_limit(spark, sf_dir)
+    made = FC.predictions_by_horizon(Q.build_sequences(panel, EVALUATED), FC.BASELINES, 4)
+    return made, limit
 
 
 def scored_predictions(spark, sf_dir):
-    return E.scored_predictions(predictions(spark, sf_dir), threshold(spark, sf_dir))
+    return E.scored_predictions(*predictions(spark, sf_dir))
 
 
 @query
 def regression_metrics(spark, sf_dir):
-    return E.regression_metrics(predictions(spark, sf_dir))
+    return E.regression_metrics(predictions(spark, sf_dir)[0])
 
 
 @query
 def per_feature_errors(spark, sf_dir):
-    return E.per_feature_errors(predictions(spark, sf_dir))
+    return E.per_feature_errors(predictions(spark, sf_dir)[0])
 
 
 @query
@@ -664,11 +675,13 @@ def average_precision(spark, sf_dir):
 
 @query
 def metrics_by_horizon(spark, sf_dir):
-    return E.metrics_by_horizon(predictions(spark, sf_dir), threshold(spark, sf_dir))
+    made, limit = predictions(spark, sf_dir)
+    return E.metrics_by_horizon(materialize(made), limit)
 
 
 def run_log(spark, sf_dir):
-    measured = E.metrics_by_horizon(predictions(spark, sf_dir), threshold(spark, sf_dir))
+    made, limit = predictions(spark, sf_dir)
+    measured = E.metrics_by_horizon(materialize(made), limit)
     return R.melt_metrics(measured, ["rmse", "mae", "f1", "roc_auc"])
 
 
@@ -715,7 +728,7 @@ def forecast_linear(spark, sf_dir):
 
 
 def _classified(spark, sf_dir, kind, **params):
-    rows = SP.stratified_split(Q.fill_panel(labeled(spark, sf_dir)), KEYS, "is_active")
+    rows = materialize(SP.stratified_split(Q.fill_panel(labeled(spark, sf_dir)), KEYS, "is_active"))
     classifier = C.ActivityClassifier(kind, **params).fit(rows.filter("split = 'train'"))
     return classifier.evaluate(rows.filter("split = 'test'"))
 
@@ -738,8 +751,8 @@ def classify_boosted(spark, sf_dir):
 @query
 def classifier_metrics(spark, sf_dir):
     """The classifier report for a known rule: last quarter's score as the odds of being active."""
-    rows = FC.panel_predictions("last", FC.panel_last(indexed(spark, sf_dir), FIXED))
-    limit = threshold(spark, sf_dir)
+    panel, limit = indexed_and_limit(spark, sf_dir)
+    rows = FC.panel_predictions("last", FC.panel_last(panel, FIXED))
     score = E.array_score(F.col("prediction"))
     chance = score / (score + F.col("_limit"))
     truth = E.array_score(F.col("target"))

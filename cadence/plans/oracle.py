@@ -387,7 +387,7 @@ def _profile(table: str, columns: dict[str, tuple[str, str]], samples: bool) ->
             else ""
         )
         parts.append(
-            f"SELECT '{name}' AS column, '{dtype}' AS type, count(*) AS rows, count({name}) AS non_null, "
+            f"SELECT '{name}' AS \"column\", '{dtype}' AS type, count(*) AS rows, count({name}) AS non_null, "
             f"{_r(f'count({name}) * 100.0 / count(*)', 'non_null_pct')}, count(DISTINCT {name}) AS distinct_values, "
             f"'{role}' AS role, {str(dtype in ('bigint', 'int', 'double')).lower()} AS numeric_fallback{shown} "
             f"FROM {table}"
@@ -409,9 +409,9 @@ def _mixed() -> str:
     names = ("int", "float", "bool", "timestamp", "text")
     counts = ", ".join(f"count(*) FILTER (k = '{n}') AS n_{n}" for n in names)
     return (
-        "WITH v AS (SELECT 'event_type' AS column, event_type AS v FROM events UNION ALL SELECT 'props', props FROM events "
-        f"UNION ALL SELECT 'payload', {payload} FROM events), k AS (SELECT column, {kind} AS k FROM v) "
-        f"SELECT column, {counts}, count(DISTINCT k) AS n_types, count(DISTINCT k) > 1 AS mixed FROM k GROUP BY column"
+        "WITH v AS (SELECT 'event_type' AS \"column\", event_type AS v FROM events UNION ALL SELECT 'props', props FROM events "
+        f"UNION ALL SELECT 'payload', {payload} FROM events), k AS (SELECT \"column\", {kind} AS k FROM v) "
+        f"SELECT \"column\", {counts}, count(DISTINCT k) AS n_types, count(DISTINCT k) > 1 AS mixed FROM k GROUP BY \"column\""
     )
 
 
@@ -586,7 +586,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "null_flags": f"{w}{STREAMS} "
         + " UNION ALL ".join(
-            f"SELECT '{c}' AS column, count(*) - count({c}) AS nulls, "
+            f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, "
             f"{_r(f'(count(*) - count({c})) * 100.0 / count(*)', 'null_pct')}, "
             f"(count(*) - count({c})) * 100.0 / count(*) > 50 AS high_missing FROM pulls"
             for c in ("repo_id", "created_at", "merged_at", "closed_at", "comments", "user_login")

@@ -15,7 +15,8 @@ from cadence.operators import metrics as E
 from cadence.operators import sequences as Q
 from cadence.operators import splits as T
 from cadence.operators import stats as S
-from cadence.schemas import FEATURES, KEYS
+from cadence.schemas import FEATURES
+from cadence.session import materialize
 
 
 @dataclass(frozen=True)
@@ -38,11 +39,12 @@ def prepare(
 ) -> Prepared:
     """Label, fill, index, cut into sequences, split and measure.
 
-    ``panel`` is read by every result; when more than one is wanted, write it first
-    (``sinks.write_panel``) and pass what was read back.
+    The labeled panel is written once: every result reads it, and it is tiny next
+    to the events it came from.
     """
-    threshold = L.percentile_threshold(L.activity_score(panel), percentile).scalar()
-    indexed = Q.panel_index(Q.fill_panel(L.label_activity(panel, percentile)))
+    labeled = materialize(L.label_activity(panel, percentile))
+    threshold = L.percentile_threshold(labeled, percentile).scalar()
+    indexed = Q.panel_index(Q.fill_panel(labeled))
     sequences = T.temporal_split(Q.build_sequences(indexed, spec), *shares)
     return Prepared(
         spec,
@@ -62,7 +64,9 @@ def dataset_metadata(indexed: DataFrame, sequences: DataFrame, spec: Q.SequenceS
             *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "dev", "test")],
         )
     )
-    return indexed.agg(F.count_distinct("repo_id").alias("n_repositories")).select(
+    counted = indexed.agg(F.count_distinct("repo_id").alias("n_repositories")).withColumn("_size", size)
+    size = F.col("_size")
+    return counted.select(
         size["lookback"].alias("lookback"),
         F.lit(spec.first_target).alias("min_lookback"),
         F.lit(spec.reach).cast("int").alias("max_lookback"),
@@ -83,6 +87,3 @@ def evaluate(
     chosen = prepared.sequences if split is None else prepared.sequences.filter(F.col("split") == split)
     predictions = FC.predictions_by_horizon(chosen, models, steps)
     return E.metrics_by_horizon(predictions, prepared.threshold)
-
-
-__all__ = ["KEYS", "Prepared", "dataset_metadata", "evaluate", "prepare"]
