@@ -62,11 +62,11 @@ def last_row(history: Column) -> Column:
 def mean_of_newest(history: Column, window: int | None, width: int = len(FEATURES)) -> Column:
     """Per-feature mean of the newest ``window`` rows (all rows when None or fewer)."""
     newest = history if window is None else keep_newest(history, window)
-    means = [
-        F.aggregate(newest, F.lit(0.0), lambda total, row, j=j: total + F.get(row, j)) / F.size(newest)
-        for j in range(width)
-    ]
-    return F.array(*means)
+
+    def total(j: int) -> Column:
+        return F.aggregate(newest, F.lit(0.0), lambda so_far, row: so_far + F.get(row, F.lit(j)))
+
+    return F.array(*[total(j) / F.size(newest) for j in range(width)])
 
 
 def linear_rows(history: Column, intercepts: Sequence[float], weights: Sequence[Sequence[float]]) -> Column:
