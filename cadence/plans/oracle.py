@@ -472,6 +472,9 @@ def oracle_sql() -> dict[str, str]:
     zscores = ", ".join(_r(f"({c} - {_stat(c, 'mean')}) / {_stat(c, 'std')}", c) for c in FEATURES)
     scaled_total = " + ".join(f"({c} - {_stat(c, 'mean')}) / {_stat(c, 'std')}" for c in FEATURES)
     order = "PARTITION BY repo_id ORDER BY year, quarter"
+    features = ", ".join(FEATURES)
+    missing = " OR ".join(f"{c} IS NULL OR isnan(CAST({c} AS DOUBLE))" for c in FEATURES)
+    infinite = " OR ".join(f"coalesce(isinf(CAST({c} AS DOUBLE)), false)" for c in FEATURES)
     commit_score = "(10 * commit_count + 20 * total_contributors) / 10.0"
     sql = {
         "scan_streams": w
@@ -605,7 +608,10 @@ def oracle_sql() -> dict[str, str]:
             f"count(*) FILTER (isinf(CAST({c} AS DOUBLE))) AS infinite FROM scored"
             for c in (*FEATURES, "activity_score")
         ),
-        "invalid_sequences": "SELECT 0 AS nan_sequences, 0 AS inf_sequences FROM lineitem LIMIT 1",
+        "invalid_sequences": f"{w}{_histories(2, 3)}, cells AS (SELECT repo_id, target_quarter_index AS q, {features} "
+        f"FROM hist UNION ALL SELECT repo_id, quarter_index AS q, {features} FROM targets), "
+        f"s AS (SELECT repo_id, q, bool_or({missing}) AS nans, bool_or({infinite}) AS infs FROM cells GROUP BY ALL) "
+        "SELECT count(*) FILTER (nans) AS nan_sequences, count(*) FILTER (infs) AS inf_sequences FROM s",
         "stream_comparison": f"{w}{PANEL} "
         + " UNION ALL ".join(
             f"SELECT p.repo_id, '{n}' AS stream, coalesce(r.n, 0) AS raw_rows, p.s AS panel_sum, p.q AS quarters FROM "

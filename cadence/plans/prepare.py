@@ -85,5 +85,6 @@ def evaluate(
 ) -> DataFrame:
     """Every metric per model and horizon on one split (all sequences when None)."""
     chosen = prepared.sequences if split is None else prepared.sequences.filter(F.col("split") == split)
-    predictions = FC.predictions_by_horizon(chosen, models, steps)
+    # Three aggregates read the predictions, so they are rolled out once.
+    predictions = materialize(FC.predictions_by_horizon(chosen, models, steps))
     return E.metrics_by_horizon(predictions, prepared.threshold)
