@@ -265,6 +265,8 @@ def essential_columns(df: DataFrame) -> DataFrame:
 
 def activity_panel(events: DataFrame, forks: DataFrame | None = None) -> DataFrame:
     """The quarterly panel: keys and eight features, one row per quarter with any event."""
+    # The panel does not count star users, so stars collapse before the first shuffle too.
+    events = events.withColumn("actor", F.when(F.col("kind") != STAR, F.col("actor")))
     return essential_columns(total_contributors(quarterly_activity(events, forks)))
 
 
