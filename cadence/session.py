@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,18 +30,33 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"spark.sql.session.timeZone is {zone!r}; set it to UTC")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and return it with its lineage cut.
+def work_root(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else one below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    application = spark.sparkContext.applicationId
+    return f"{folder.rstrip('/')}/cadence-{application}"
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A path below :func:`work_root` that nothing else uses."""
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks) is a temporary one made.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet to the shared work folder and return the reread table.
+
+    Later reads prune columns and push filters down, and survive the loss of any executor.
+    The copy stays until :func:`release`.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cadence-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete everything this application has materialised; True if something was there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
