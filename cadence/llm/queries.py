@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from cadence.llm import exact_dedup, secrets, warc
+from cadence.llm import bpe, chat, exact_dedup, packing, secrets, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_packing": packing.op2_packing,
     "op3_warc": warc.op3_warc,
     "op4_secret_scans": secrets.op4_secret_scans,
+    "op5_chat_formatting": chat.op5_chat_formatting,
+    "op8_bpe": bpe.op8_bpe,
 }
 
 #: The others are tested against brute-force versions in tests/llm.
