@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadence.llm import bpe, chat, exact_dedup, packing, secrets, warc
+from cadence.llm import bpe, chat, exact_dedup, packing, quality_classifier, quality_rules, secrets, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": bpe.op8_bpe,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 #: The others are tested against brute-force versions in tests/llm.
