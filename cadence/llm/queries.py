@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadence.llm import bpe, chat, exact_dedup, packing, quality_classifier, quality_rules, secrets, warc
+from cadence.llm import bpe, chat, exact_dedup, jaccard, packing, quality_classifier, quality_rules, secrets, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": bpe.op8_bpe,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 

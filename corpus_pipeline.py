@@ -4,23 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import exact_dedup, secrets
+from cadence.llm import exact_dedup, jaccard, packing, quality_classifier, secrets
 from cadence.session import work_path
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on these documents, rejects go."""
+    return quality_classifier.kept_documents(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the largest doc_id stays."""
     return exact_dedup.kept_documents(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links between similar texts, the one with the smallest doc_id stays."""
+    return jaccard.kept_documents(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets give way to a mark."""
     return secrets.redacted(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, as :func:`cadence.llm.packing.pack` describes."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality classifier", drop_low_quality),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
     ("secret scans", redact_secrets),
+    ("packing", pack),
 ]
 
 #: Models, packing and tokenizers have no SQL; tests/llm compare every stage with a brute-force version.
