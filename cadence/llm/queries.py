@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from cadence.llm import bpe, chat, exact_dedup, jaccard, packing, quality_classifier, quality_rules, secrets, warc
+from cadence.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    jaccard,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    suffix_dedup,
+    warc,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +21,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": bpe.op8_bpe,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
