@@ -185,6 +185,7 @@ def read_warc(spark: SparkSession, path: str, project=lambda header, block: [hea
     """
     links = materialize(candidates(spark, path), "links")
     owned = materialize(_owned(links, reachable(links)), "owned")
+    # written apart: its size is then known to the planner, and the archives are not shuffled for a few long records
     complete = F.col("real") & (F.col("head") + F.col("length") <= F.col("size"))
     keys = ["file", "split", "order"]
     source = chunks(spark, path)
@@ -194,7 +195,7 @@ def read_warc(spark: SparkSession, path: str, project=lambda header, block: [hea
     inline = inline.withColumn("length", F.when(length != "", length.cast("bigint"))).withColumn("at", F.lit(None).cast("bigint"))
     whole = inline.select("split", "order", *_cut(F.col("chunk"), project)).drop("at")
     whole = whole.join(owned.filter(complete).select(*keys, "at"), keys).drop("split", "order")
-    parts = source.join(owned.filter(~complete), keys).groupBy("file", F.col("owner").alias("at")).agg(
+    parts = source.join(materialize(owned.filter(~complete), "cut"), keys).groupBy("file", F.col("owner").alias("at")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("at").alias("place"), "chunk"))).alias("parts"),
         F.max(F.when(F.col("real"), F.col("head"))).alias("head"),
         F.max(F.when(F.col("real"), F.col("length"))).alias("length"),
