@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from cadence.schemas import SCORE_WEIGHTS
 
-LONG_TEXT = 64
-
 
 def safe_timestamp(text: Column | str) -> Column:
     """Parse each value on its own; unreadable text becomes NULL."""
@@ -55,11 +53,9 @@ def scalar_struct(one_row: DataFrame) -> Column:
 
 
 def compact_key(name: str, dtype: str) -> Column:
-    """Grouping key for a column: the value, or a digest when it is long text."""
+    """Grouping key for a column: the SHA-256 digest of every text, the value itself of any other type."""
     column = F.col(f"`{name}`")
-    if dtype != "string":
-        return column.cast("string")
-    return F.when(F.length(column) <= LONG_TEXT, column).otherwise(F.concat(F.lit("md5:"), F.md5(column)))
+    return F.sha2(column.cast("binary"), 256) if dtype == "string" else column.cast("string")
 
 
 def hash_fraction(keys: Sequence[str]) -> Column:

@@ -14,6 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.session import materialize
+
+# Buckets of every ranking: the number of tasks that its windows are spread over. Callers with more data pass more.
 BUCKETS = 256
 SKETCH_ACCURACY = 10_000
 
@@ -46,9 +49,11 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<m>`` (inclusive, ascending ``value``) and ``all_<m>`` for each measure.
 
-    ``df`` holds one row per ``(*by, value)``; those columns must not be NULL.
+    ``df`` holds one row per ``(*by, value)``; those columns must not be NULL. It is
+    written once, since the cut points, the windows and the totals each read it.
     """
     by = list(by)
+    df = materialize(df, "ranked")
     # A subquery may not stand inside the search itself, so the cut points pass through a column.
     placed = (
         df.withColumn("_cuts", cut_points(df, value, buckets))

@@ -8,11 +8,12 @@ a history matrix; use them when only the next quarter is wanted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,6 @@ from cadence.operators.sequences import (
     sequence_info,
 )
 from cadence.schemas import FEATURES, MATRIX
-from cadence.session import materialize
 
 MOVING_AVERAGE_WINDOW = 3  # fixed value
 HIGH_CONFIDENCE_DISTANCE = 500.0  # fixed value
@@ -206,6 +206,50 @@ def forecast_to_label(df: DataFrame, threshold: Column, forecast: str = "forecas
     )
 
 
+def _moments(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Sums of all products of two elements of ``z``, for each split; one small matrix per task is shuffled."""
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, part in batch.groupby("split")["z"]:
+                z = np.stack(part.to_numpy())
+                sums[name] = sums.get(name, 0) + z.T @ z
+        for name, matrix in sums.items():
+            yield pd.DataFrame({"split": name, "at": range(matrix.size), "value": matrix.ravel()})
+
+    sums = rows.mapInPandas(products, "split string, at int, value double").groupBy("split", "at").agg(F.sum("value").alias("value"))
+    found: dict[str, list] = {}
+    for row in sums.orderBy("split", "at").collect():
+        found.setdefault(row["split"], []).append(row["value"])
+    return {name: np.array(values).reshape(math.isqrt(len(values)), -1) for name, values in found.items()}
+
+
+def _ridge(moments: np.ndarray, inputs: int, target: int, reg: float) -> np.ndarray:
+    """Intercept and weights of least squares with penalty ``reg`` / 2 per squared weight, relative to the target's deviation."""
+    n = moments[0, 0]
+    mean = moments[0] / n
+    spread = moments / n - np.outer(mean, mean)
+    inside, deviation = slice(1, inputs), math.sqrt(max(spread[target, target], 0.0))
+    weights = np.zeros(inputs - 1)
+    if deviation:
+        matrix = spread[inside, inside] + np.eye(inputs - 1) * (reg / deviation)
+        weights = np.linalg.lstsq(matrix, spread[inside, target], rcond=1e-13)[0]
+    return np.concatenate([[mean[target] - weights @ mean[inside]], weights])
+
+
+def _loss(moments: np.ndarray | None, inputs: int, fits: Sequence[np.ndarray]) -> float | None:
+    """Mean squared error over all rows and targets, from the moments alone."""
+    if moments is None:
+        return None
+    errors = []
+    for j, fit in enumerate(fits):
+        residual = np.zeros(len(moments))
+        residual[:inputs], residual[inputs + j] = fit, -1.0
+        errors.append(residual @ moments @ residual / moments[0, 0])
+    return float(np.mean(errors))
+
+
 def fit_linear(
     split: DataFrame,
     stats: DataFrame,
@@ -216,47 +260,30 @@ def fit_linear(
 
     ``split`` has sequences with a ``split`` column. Each regularisation strength is
     fitted on ``train`` and the one with the least mean squared error on ``dev``
-    (scaled units) wins. The scaled training table is written once and shared by
-    all fits; only coefficients and one loss per strength reach the driver.
+    (scaled units) wins. One pass over the data gives the moments of inputs and
+    targets for both parts; every fit and every loss follows from these.
     """
     wide = S.attach_stats(split.filter(F.col("split").isin("train", "dev")), stats)
     lagged = lag_vectors(wide, length, F.col("_mean"), F.col("_std"))
     target = F.get(A.scale_matrix(F.slice("target_metrics", 1, 1), F.col("_mean"), F.col("_std")), F.lit(0))
-    table = materialize(
-        lagged.select("split", array_to_vector("lags").alias("features"), target.alias("y")).select(
-            "split", "features", *[F.get("y", F.lit(j)).alias(f"y{j}") for j in range(len(FEATURES))]
-        )
-    )
-    train, dev = table.filter("split = 'train'"), table.filter("split = 'dev'")
     width = len(FEATURES)
+    moments = _moments(lagged.select("split", F.concat(F.array(F.lit(1.0)), "lags", target).alias("z")))
+    inputs = 1 + length * width
     best = None
     for reg in reg_params:
-        fits = []
-        scored = dev
-        for j in range(width):
-            learner = LinearRegression(
-                featuresCol="features",
-                labelCol=f"y{j}",
-                predictionCol=f"p{j}",
-                regParam=reg,
-                standardization=False,
-                solver="normal",
-            )
-            fits.append(learner.fit(train))
-            scored = fits[-1].transform(scored)
-        error = sum(F.pow(F.col(f"p{j}") - F.col(f"y{j}"), F.lit(2.0)) for j in range(width)) / width
-        loss = scored.agg(F.avg(error)).first()[0]
+        found = [_ridge(moments["train"], inputs, inputs + j, reg) for j in range(width)]
+        loss = _loss(moments.get("dev"), inputs, found)
         if best is None or (loss is not None and (best[0] is None or loss < best[0])):
-            best = (loss, reg, fits)
+            best = (loss, reg, found)
     loss, reg, fits = best
     row = stats.select("mean", "std").first()
     mean, std = list(row["mean"]), list(row["std"])
     intercepts, weights = [], []
     for j, fit in enumerate(fits):
-        scaled = [float(w) for w in fit.coefficients.toArray()]
+        scaled = [float(w) for w in fit[1:]]
         unit = [w * std[j] / std[i % width] for i, w in enumerate(scaled)]
         intercepts.append(
-            mean[j] + std[j] * float(fit.intercept) - sum(w * mean[i % width] for i, w in enumerate(unit))
+            mean[j] + std[j] * float(fit[0]) - sum(w * mean[i % width] for i, w in enumerate(unit))
         )
         weights.append(tuple(unit))
     return LinearForecast(length, tuple(intercepts), tuple(weights), tuple(mean), float(reg), loss)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.columns import scalar_struct, threshold_label, weighted_score
 from cadence.functions.ranked import exact_quantiles
 from cadence.schemas import SCORE_WEIGHTS
+from cadence.session import materialize
 
 # Reported percentiles and the wanted share of active quarters.
 REPORT_PERCENTILES = (25, 50, 60, 70, 75, 80, 85, 90, 95)
@@ -29,17 +30,29 @@ def percentile_threshold(scored: DataFrame, percentile: float = 0.75) -> DataFra
     return exact_quantiles(scored, "activity_score", {"threshold": percentile})
 
 
+def label_with_threshold(
+    panel: DataFrame, percentile: float = 0.75, weights: Mapping[str, float] = SCORE_WEIGHTS
+) -> tuple[DataFrame, Column]:
+    """The labeled panel and the threshold used, as a literal.
+
+    The scored panel is written once and everything after reads that copy: the
+    threshold, the labels and whatever reports follow.
+    """
+    scored = materialize(activity_score(panel, weights), "scored")
+    threshold = F.lit(percentile_threshold(scored, percentile).first()[0]).cast("double")
+    return scored.withColumn("is_active", threshold_label(F.col("activity_score"), threshold)), threshold
+
+
 def label_activity(
     panel: DataFrame, percentile: float = 0.75, weights: Mapping[str, float] = SCORE_WEIGHTS
 ) -> DataFrame:
-    """Panel with ``activity_score`` and ``is_active``."""
-    scored = activity_score(panel, weights)
-    threshold = percentile_threshold(scored, percentile).scalar()
-    return scored.withColumn("is_active", threshold_label(F.col("activity_score"), threshold))
+    """Panel with ``activity_score`` and ``is_active``, on a copy written once."""
+    return label_with_threshold(panel, percentile, weights)[0]
 
 
 def score_distribution(scored: DataFrame) -> DataFrame:
     """Mean, sample deviation, extremes, percentiles and zero share of the score; one row."""
+    scored = materialize(scored.select("activity_score"), "scores")
     score = F.col("activity_score")
     shape = scored.agg(
         F.avg(score).alias("mean"),
@@ -89,7 +102,7 @@ def entity_activity(labeled: DataFrame) -> DataFrame:
 
 def entity_activity_rate(labeled: DataFrame) -> DataFrame:
     """Spread of the active share over repositories; one row."""
-    rates = entity_activity(labeled)
+    rates = materialize(entity_activity(labeled), "rates")
     share = F.col("pct_active")
     median = exact_quantiles(rates, "pct_active", {"median": 0.5}).scalar()
     return rates.agg(
@@ -105,9 +118,7 @@ def labeling_summary(
     panel: DataFrame, percentile: float = 0.75, weights: Mapping[str, float] = SCORE_WEIGHTS
 ) -> DataFrame:
     """Totals, shares, the percentile and threshold used, and the weights; one row."""
-    scored = activity_score(panel, weights)
-    threshold = percentile_threshold(scored, percentile).scalar()
-    labeled = scored.withColumn("is_active", threshold_label(F.col("activity_score"), threshold))
+    labeled, threshold = label_with_threshold(panel, percentile, weights)
     active = F.count_if(F.col("is_active") == 1)
     return labeled.agg(
         F.count("*").alias("total_quarters"),

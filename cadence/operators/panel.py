@@ -22,6 +22,7 @@ from cadence.schemas import (
     STAR,
     STREAM_KINDS,
 )
+from cadence.session import materialize
 
 # Output columns per stream: (name, event kind, "rows" | "people" | "comments").
 DETAIL = {
@@ -277,12 +278,17 @@ def panel_from_streams(streams: Mapping[str, DataFrame], tie_break: Sequence[str
 
 def limit_entities(df: DataFrame, n: int, entity: str = "repo_id") -> DataFrame:
     """Rows of the first ``n`` entities in sorted order."""
-    first = df.select(entity).distinct().orderBy(entity).limit(n)
-    return df.join(first, entity, "left_semi")
+    return df.join(first_entities(df, n, entity), entity, "left_semi")
+
+
+def first_entities(df: DataFrame, n: int, entity: str = "repo_id") -> DataFrame:
+    """The first ``n`` entities in sorted order, written once: a limit to apply at the source."""
+    return materialize(df.select(entity).distinct().orderBy(entity).limit(n), "entities")
 
 
 def panel_summary(panel: DataFrame) -> DataFrame:
     """Rows, repositories, years and mean/median/max of every feature, one row per feature."""
+    panel = materialize(panel, "panel")
     features = [c for c in FEATURES if c in panel.columns]
     size = panel.agg(
         F.count("*").alias("n_rows"),

@@ -47,7 +47,7 @@ COMPARED = (
 
 
 def _by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long form ``(column, key, sample)``; long text travels as a digest and a short prefix to show."""
+    """Long form ``(column, key, sample)``; texts travel as a digest and a short prefix to show."""
     dtypes = dict(df.dtypes)
     cells = [
         F.struct(

@@ -23,6 +23,12 @@ def cutoffs(targets: DataFrame, shares: Sequence[float] = (0.85, 0.95), index: s
     return targets.agg(distinct.alias("_indices")).select(F.array(*place)).scalar()
 
 
+def require_shares(*shares: float) -> None:
+    """Shares must rise strictly between 0 and 1, so that every part has a cut-off."""
+    if any(not low < high for low, high in zip((0.0, *shares), (*shares, 1.0))):
+        raise ValueError(f"shares must rise between 0 and 1, got {shares}")
+
+
 def split_name(index: Column, cuts: Column) -> Column:
     """Inclusive cut-offs: train up to the first, dev up to the second, then test."""
     return F.when(index <= cuts[0], "train").when(index <= cuts[1], "dev").otherwise("test")
@@ -31,6 +37,7 @@ def split_name(index: Column, cuts: Column) -> Column:
 def temporal_split(
     sequences: DataFrame, train: float = 0.85, dev: float = 0.95, index: str = "target_quarter_index"
 ) -> DataFrame:
+    require_shares(train, dev)
     return (
         sequences.withColumn("_cuts", cutoffs(sequences, (train, dev), index))
         .withColumn("split", split_name(F.col(index), F.col("_cuts")))
@@ -40,6 +47,7 @@ def temporal_split(
 
 def ordered_cut(sequences: DataFrame, share: float = 0.9, index: str = "target_quarter_index") -> DataFrame:
     """Temporal cut into ``train`` and ``validation`` at one boundary."""
+    require_shares(share)
     cut = cutoffs(sequences, (share,), index)[0]
     return sequences.withColumn("split", F.when(F.col(index) <= cut, "train").otherwise("validation"))
 

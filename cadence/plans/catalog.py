@@ -26,9 +26,9 @@ from cadence.operators import sequences as Q
 from cadence.operators import splits as SP
 from cadence.operators import stats as S
 from cadence.plans.prepare import dataset_metadata
-from cadence.schemas import FEATURES, KEYS
-from cadence.session import materialize
-from cadence.sources import files
+from cadence.schemas import FEATURES, KEYS, RAW_COLUMNS
+from cadence.session import materialize, work_path
+from cadence.sources import files, raw, sinks
 from cadence.sources import mapping as M
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,8 +79,8 @@ def indexed_and_limit(spark: SparkSession, sf_dir: str):
     What follows reads the panel several times (cut-offs, statistics, forecasts);
     the raw events are read for it only here.
     """
-    saved = materialize(labeled(spark, sf_dir))
-    return Q.panel_index(Q.fill_panel(saved)), L.percentile_threshold(saved).scalar()
+    saved, limit = L.label_with_threshold(M.panel(spark, sf_dir))
+    return Q.panel_index(Q.fill_panel(saved)), limit
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,67 @@ def scan_streams(spark, sf_dir):
     return P.union_by_name(parts)
 
 
+def _scanned(spark, sf_dir, stream):
+    """The stream written as raw CSV files, one directory per repository, and scanned back."""
+    root = work_path(spark, "raw")
+    rows = M.streams(spark, sf_dir)[stream].select("repo_id", *RAW_COLUMNS[stream])
+    raw.write_raw(rows, f"{root}/{stream}")
+    found = raw.scan_stream(spark, root, stream, layout=raw.WRITTEN_LAYOUT)
+    return found.withColumns({c: F.unix_micros(c) for c in raw.TIMES[stream]})
+
+
+@query
+def scan_commits(spark, sf_dir):
+    return _scanned(spark, sf_dir, "commits")
+
+
+@query
+def scan_issues(spark, sf_dir):
+    return _scanned(spark, sf_dir, "issues")
+
+
+@query
+def scan_pull_requests(spark, sf_dir):
+    return _scanned(spark, sf_dir, "pull_requests")
+
+
+@query
+def scan_stargazers(spark, sf_dir):
+    return _scanned(spark, sf_dir, "stargazers")
+
+
+@query
+def scan_snapshots(spark, sf_dir):
+    return _scanned(spark, sf_dir, "repository")
+
+
+@query
+def panel_round_trip(spark, sf_dir):
+    """The panel written sorted, as Parquet and CSV, and read back from the Parquet."""
+    path = work_path(spark, "panel")
+    sinks.write_panel(M.panel(spark, sf_dir), path)
+    return files.read_panel(spark, f"{path}.parquet")
+
+
+@query
+def sequence_round_trip(spark, sf_dir):
+    """Split sequences written by split, scanned back, and counted by split and target quarter."""
+    path = work_path(spark, "sequences")
+    sinks.write_sequences(SP.temporal_split(sequences(spark, sf_dir, FIXED)), path)
+    saved = files.read_sequences(spark, path)
+    return saved.groupBy("split", "target_quarter_index").agg(
+        F.count("*").alias("n"), F.sum("actual_lookback").alias("history_rows"), F.count_distinct("repo_id").alias("repos")
+    )
+
+
+@query
+def lag_vectors(spark, sf_dir):
+    """Fixed histories flattened to lag vectors, oldest quarter first, padded with zeros on the left."""
+    lagged = Q.lag_vectors(sequences(spark, sf_dir, TWO_AHEAD), 4)
+    text = F.array_join(F.transform("lags", lambda x: x.cast("bigint").cast("string")), ",")
+    return lagged.select(*SEQUENCE_KEYS, text.alias("lags"))
+
+
 @query
 def safe_timestamps(spark, sf_dir):
     """Texts of dates and of priorities parsed one by one: bad ones become NULL and are counted."""
@@ -245,7 +306,8 @@ def panel_summary(spark, sf_dir):
 
 @query
 def entity_limit(spark, sf_dir):
-    return P.limit_entities(M.panel(spark, sf_dir), 10)
+    """The panel of the first repositories: they are picked from the source, and only their rows are aggregated."""
+    return M.panel(spark, sf_dir, P.first_entities(M.commits(spark, sf_dir).filter("author_date IS NOT NULL"), 10))
 
 
 # --- labels ---------------------------------------------------------------------
@@ -682,7 +744,7 @@ def metrics_by_horizon(spark, sf_dir):
 def run_log(spark, sf_dir):
     made, limit = predictions(spark, sf_dir)
     measured = E.metrics_by_horizon(materialize(made), limit)
-    return R.melt_metrics(measured, ["rmse", "mae", "f1", "roc_auc"])
+    return materialize(R.melt_metrics(measured, ["rmse", "mae", "f1", "roc_auc"]))
 
 
 def event_log(spark, sf_dir):

@@ -182,6 +182,7 @@ seqs AS (
     )
 
 
+LAG_KEYS = "repo_id, target_year, target_quarter, target_quarter_index"
 TARGET_KEYS = (
     "repo_id, year AS target_year, quarter AS target_quarter, quarter_index AS target_quarter_index"
 )
@@ -513,6 +514,23 @@ def oracle_sql() -> dict[str, str]:
         "union_by_name": f"{w}{STREAMS} SELECT * FROM closed_q UNION ALL BY NAME SELECT * FROM pr_merged_q "
         "UNION ALL BY NAME SELECT * FROM stars_q",
         "quarterly_activity": f"{w}{PANEL} SELECT * FROM detail",
+        "scan_commits": f"{w}{STREAMS} SELECT repo_id, epoch_us(author_date) AS author_date, "
+        "CAST(author_login AS VARCHAR) AS author_login, comment_count FROM commits WHERE author_date IS NOT NULL",
+        "scan_issues": f"{w}{STREAMS} SELECT repo_id, epoch_us(created_at) AS created_at, epoch_us(closed_at) AS closed_at, "
+        "comments, CAST(user_login AS VARCHAR) AS user_login FROM issues",
+        "scan_pull_requests": f"{w}{STREAMS} SELECT repo_id, epoch_us(created_at) AS created_at, "
+        "epoch_us(merged_at) AS merged_at, epoch_us(closed_at) AS closed_at, comments, "
+        "CAST(user_login AS VARCHAR) AS user_login FROM pulls",
+        "scan_stargazers": f"{w}{STREAMS} SELECT repo_id, epoch_us(starred_at) AS starred_at, "
+        "CAST(user_login AS VARCHAR) AS user_login FROM stars WHERE starred_at IS NOT NULL",
+        "scan_snapshots": f"{w}{STREAMS} SELECT repo_id, forks_count, epoch_us(fetched_at) AS fetched_at FROM snaps "
+        "WHERE fetched_at IS NOT NULL",
+        "panel_round_trip": f"{w}{PANEL} SELECT * FROM panel",
+        "sequence_round_trip": f"{w}{_targets(4)} SELECT split, quarter_index AS target_quarter_index, count(*) AS n, "
+        "4 * count(*) AS history_rows, count(DISTINCT repo_id) AS repos FROM targets GROUP BY ALL",
+        "lag_vectors": f"{w}{_sequences(2, 5, 2)} SELECT {LAG_KEYS}, "
+        f"repeat('{'0,' * len(FEATURES)}', greatest(0, 4 - actual_lookback)) || array_to_string(list_slice("
+        "string_split(lookback_features, ';'), greatest(1, actual_lookback - 3), actual_lookback), ',') AS lags FROM seqs",
         "activity_panel": f"{w}{PANEL} SELECT * FROM panel",
         "panel_summary": f"{w}{PANEL} "
         + " UNION ALL ".join(

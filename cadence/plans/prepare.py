@@ -42,8 +42,7 @@ def prepare(
     The labeled panel is written once: every result reads it, and it is tiny next
     to the events it came from.
     """
-    labeled = materialize(L.label_activity(panel, percentile))
-    threshold = L.percentile_threshold(labeled, percentile).scalar()
+    labeled, threshold = L.label_with_threshold(panel, percentile)
     indexed = Q.panel_index(Q.fill_panel(labeled))
     sequences = T.temporal_split(Q.build_sequences(indexed, spec), *shares)
     return Prepared(

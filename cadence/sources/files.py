@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import json
-from collections.abc import Iterator
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadence.sources.raw import first_lines, header_of, same_path
+
 # Endings that are read, and the format of each.
 FORMATS = {
     ".parquet": "parquet",
@@ -33,11 +34,52 @@ def format_of(path: str) -> str | None:
     return FORMATS[max(matches, key=len)] if matches else None
 
 
+def json_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, dict]:
+    """Per file of JSON text: ``document`` or not, good and bad lines, and the keys of the first good line.
+
+    A file is one document if its first line is not a record of its own and the whole parses; otherwise it has a
+    record per line, and lines that do not parse are bad.
+    """
+    if not paths:
+        return {}
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    lines = reader.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("order"), F.trim("value").alias("line")
+    )
+    good = F.col("line").startswith("{") & F.try_parse_json("line").isNotNull()
+    per_file = (
+        lines.filter("line <> ''")
+        .groupBy("path")
+        .agg(
+            F.count_if(good).alias("good"),
+            F.count_if(~good).alias("bad"),
+            F.min_by(good, "order").alias("starts_good"),
+            F.size(F.json_object_keys(F.min_by("line", F.when(good, F.col("order"))))).alias("columns"),
+        )
+    )
+    found = {same_path(r["path"]): r.asDict() for r in per_file.collect()}
+    by_name = {same_path(p): p for p in paths}
+    whole = [p for name, p in by_name.items() if name in found and not found[name]["starts_good"]]
+    if whole:
+        schema = "_record string, _bad string"
+        parsed = reader.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(schema).json(whole)
+        parsed = parsed.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+            F.count("*").alias("records"),
+            F.count("_bad").alias("broken"),
+            F.count("_record").alias("with_record"),  # the reader wants a column beside the bad text
+        )
+        for r in parsed.collect():
+            found[same_path(r["path"])] |= {"document": not r["broken"], "records": r["records"]}
+    return found
+
+
 def scan_file(spark: SparkSession, path: str, fmt: str | None = None, limit: int | None = None) -> DataFrame:
     """Read a file or directory by its ending; gzip is transparent.
 
-    ``.json`` is read as JSON lines and, when no line parses, as one document.
-    ``limit`` keeps the first rows only, for a quick look.
+    ``.json`` files hold a record per line or one document, which is decided per file;
+    of a file with a record per line the good lines are kept, and
+    :func:`file_inventory` counts the bad ones. ``limit`` keeps the first rows only,
+    for a quick look.
     """
     fmt = fmt or format_of(path)
     if fmt == "parquet":
@@ -46,12 +88,17 @@ def scan_file(spark: SparkSession, path: str, fmt: str | None = None, limit: int
         rows = spark.read.csv(
             path, header=True, sep="\t" if fmt == "tsv" else ",", inferSchema=True, multiLine=True, escape='"'
         )
-    elif fmt == "jsonl":
-        rows = spark.read.json(path)
-    elif fmt == "json":
-        rows = spark.read.json(path)
-        if rows.columns == ["_corrupt_record"] or "_corrupt_record" in rows.columns:
-            rows = spark.read.option("multiLine", True).json(path)
+    elif fmt in ("json", "jsonl"):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+        found = json_files(spark, [r["path"] for r in listed.collect()])
+        documents = [p for p, f in found.items() if f.get("document")]
+        lines = [p for p in found if p not in documents]
+        good = spark.read.option("mode", "DROPMALFORMED")
+        parts = [good.json(lines)] if lines else []
+        parts += [spark.read.option("multiLine", True).json(documents)] if documents else []
+        if not parts:
+            return spark.createDataFrame([], "_empty string").drop("_empty")
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     else:
         raise ValueError(f"no reader for {path}")
     return rows if limit is None else rows.limit(limit)
@@ -86,80 +133,59 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _count_columns(path: str, fmt: str) -> int | None:
-    """Columns of one file from its footer, its header or its first record."""
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    system, inner = pafs.FileSystem.from_uri(path.replace("file:///", "/").replace("file:/", "/"))
-    if fmt == "parquet":
-        with system.open_input_file(inner) as source:
-            return len(pq.read_schema(source).names)
-    with system.open_input_stream(inner, compression="detect") as source:
-        text = io.TextIOWrapper(source, encoding="utf-8", errors="replace")
-        if fmt in ("csv", "tsv"):
-            return len(next(csv.reader(text, delimiter="\t" if fmt == "tsv" else ","), []))
-        first = text.readline().strip()
-        try:
-            record = json.loads(first)
-        except ValueError:
-            record = json.loads(first + text.read())
-        if isinstance(record, list):
-            record = record[0] if record else {}
-        return len(record)
-
-
-def _add_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        counts = []
-        for path, fmt in zip(batch["path"], batch["format"]):
-            try:
-                counts.append(_count_columns(path, fmt))
-            except (OSError, ValueError):
-                counts.append(None)
-        yield batch.assign(columns=pd.array(counts, dtype="Int64"))
+def _parquet_columns(spark: SparkSession, path: str) -> int | None:
+    """Columns by the footer alone; None if it cannot be read."""
+    try:
+        return len(spark.read.parquet(path).columns)
+    except (AnalysisException, Py4JJavaError, PySparkException):
+        return None
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Path, format, size, rows, columns and status of every supported file below ``root``."""
-    files = list_files(spark, root)
-    readable = files.filter(F.col("format") != "unsupported")
-    columns = readable.select("path", "format").mapInPandas(_add_columns, "path string, format string, columns long")
-
-    def rows_of(fmt: str, pattern: str) -> DataFrame:
-        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        if fmt == "parquet":
-            found = reader.format("parquet").load(root)
-        elif fmt in ("csv", "tsv"):
-            found = (
-                reader.option("header", True)
-                .option("multiLine", True)
-                .option("escape", '"')
-                .option("sep", "\t" if fmt == "tsv" else ",")
-                .schema("first string")
-                .csv(root)
-            )
-        else:
-            found = reader.schema("_whole string").json(root)
-        return found.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-
-    present = [row["format"] for row in readable.select("format").distinct().collect()]
-    patterns = {"parquet": "*.parquet", "csv": "*.{csv,csv.gz}", "tsv": "*.{tsv,tsv.gz}", "json": "*.{json,json.gz}",
-                "jsonl": "*.{jsonl,jsonl.gz}"}
-    counted = [rows_of(fmt, patterns[fmt]) for fmt in sorted(present)]
-    result = files.join(columns.drop("format"), "path", "left")
-    if not counted:
-        return result.withColumns({"rows": F.lit(0).cast("long"), "status": F.lit("no reader")})
-    rows = counted[0]
-    for part in counted[1:]:
-        rows = rows.unionByName(part)
-    # One source writes file:/x, the other file:///x.
-    rows = rows.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
-    status = F.when(F.col("format") == "unsupported", "no reader").when(
-        F.col("columns").isNull(), "could not read file"
-    ).otherwise("ok")
-    return (
-        result.join(rows, "path", "left")
-        .withColumn("rows", F.when(F.col("format") != "unsupported", F.coalesce("rows", F.lit(0))))
-        .withColumn("status", status)
-    )
+    """Path, format, size, rows, columns and status of every supported file below ``root``.
+
+    Rows are counted by Spark's readers, all files of a format together. Status is ``ok``, ``no reader``, ``could not
+    read file``, or the number of unreadable lines of JSON text, whose rows are its good lines. The driver holds the
+    list of files.
+    """
+    listed = list_files(spark, root).collect()
+    paths = {f: [r["path"] for r in listed if r["format"] == f] for f in {r["format"] for r in listed}}
+    columns: dict[str, int | None] = {}
+    rows: dict[str, int] = {}
+    notes: dict[str, str] = {}
+
+    def count(found: DataFrame) -> None:
+        per_file = found.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
+        rows.update({same_path(r["path"]): r["rows"] for r in per_file.collect()})
+
+    tolerant = spark.read.option("ignoreCorruptFiles", True)
+    if "parquet" in paths:
+        with ThreadPoolExecutor(8) as pool:
+            widths = pool.map(lambda p: _parquet_columns(spark, p), paths["parquet"])
+            columns.update(zip(map(same_path, paths["parquet"]), widths))
+        readable = [p for p in paths["parquet"] if columns[same_path(p)] is not None]
+        if readable:
+            count(tolerant.schema("_none string").parquet(*readable))
+    for fmt, sep in (("csv", ","), ("tsv", "\t")):
+        if fmt in paths:
+            lines = first_lines(spark, paths[fmt])
+            columns.update({p: len(header_of(line, sep)) for p, line in lines.items()})
+            options = {"header": True, "multiLine": True, "escape": '"', "sep": sep}
+            count(tolerant.options(**options).schema("first string").csv(paths[fmt]))
+    for fmt in ("json", "jsonl"):
+        for path, found in json_files(spark, paths.get(fmt, [])).items():
+            if found.get("document"):
+                rows[path] = found["records"]
+                columns[path] = len(spark.read.option("multiLine", True).json(path).columns)
+            elif found["good"]:
+                rows[path], columns[path] = found["good"], found["columns"]
+                if found["bad"]:
+                    notes[path] = f"{found['bad']} unreadable lines"
+
+    made = []
+    for r in listed:
+        path, readable = same_path(r["path"]), r["format"] != "unsupported"
+        width = columns.get(path)
+        status = "no reader" if not readable else "could not read file" if width is None else notes.get(path, "ok")
+        made.append((r["path"], r["size_mb"], r["format"], width, rows.get(path, 0) if readable else None, status))
+    return spark.createDataFrame(made, "path string, size_mb double, format string, columns bigint, rows bigint, status string")

@@ -27,13 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").withColumn("repo_id", F.col("l_suppkey").cast("string"))
+def _lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("repo_id", F.col("l_suppkey").cast("string"))
+    return lines if only is None else lines.join(only, "repo_id", "left_semi")
 
 
-def _ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ordered_lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-    lines = _lines(spark, sf_dir)
+    lines = _lines(spark, sf_dir, only)
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"], "left")
 
 
@@ -87,9 +88,9 @@ def stargazers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshots(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     return (
-        _lines(spark, sf_dir)
+        _lines(spark, sf_dir, only)
         .filter(F.col("l_returnflag") == "R")
         .select(
             "repo_id",
@@ -110,7 +111,7 @@ def streams(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """The same events as ``stream_events(streams(...))`` with one scan and one join.
 
     Three of the streams need the order's date; joining once and emitting every
@@ -134,7 +135,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return P.explode_events(
-        _ordered_lines(spark, sf_dir),
+        _ordered_lines(spark, sf_dir, only),
         [
             event(F.lit(COMMIT), shipped, F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long")),
             event(F.when(odd, ISSUE_OPEN).otherwise(PR_OPEN), ordered, customer, number),
@@ -144,5 +145,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.activity_panel(events(spark, sf_dir), P.latest_snapshot(snapshots(spark, sf_dir), SNAPSHOT_TIE_BREAK))
+def panel(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The panel; with ``only`` (repo_id), that of these repositories, whose events alone are shuffled."""
+    forks = P.latest_snapshot(snapshots(spark, sf_dir, only), SNAPSHOT_TIE_BREAK)
+    return P.activity_panel(events(spark, sf_dir, only), forks)

@@ -1,10 +1,12 @@
-"""Raw event files: one directory per repository, one CSV per stream."""
+"""Raw event files: one directory per repository, one CSV per stream, every file under its own header."""
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,87 +24,140 @@ TIMES = {
 COUNTS = {"commits": "comment_count", "issues": "comments", "pull_requests": "comments", "repository": "forks_count"}
 # Streams whose rows are useless without their only time.
 FILTERED = ("commits", "stargazers", "repository")
+#: Where a stream's files are: the directory that holds a file names the repository.
+LAYOUT = "{root}/*/{stream}.csv"
 
 
-def _read_text_columns(
-    spark: SparkSession, paths: Sequence[str], layout: Sequence[str] | None, tolerant: bool, schema_from: str | None
-) -> DataFrame:
+def typed_column(stream: str, name: str) -> Column:
+    """A raw text column with the type it has in the stream; what cannot be read is NULL."""
+    if name in TIMES[stream]:
+        return safe_timestamp(name).alias(name)
+    if name == COUNTS.get(stream):
+        return F.col(name).try_cast("double").cast("bigint").alias(name)
+    return F.col(name)
+
+
+def typed_rows(rows: DataFrame, stream: str) -> DataFrame:
+    """Text rows with ``repo_id`` and the stream's columns, typed; rows without their only time are dropped."""
+    typed = rows.select("repo_id", *[typed_column(stream, c) for c in RAW_COLUMNS[stream]])
+    return typed.filter(F.col(TIMES[stream][0]).isNotNull()) if stream in FILTERED else typed
+
+
+def _empty(spark: SparkSession, stream: str) -> DataFrame:
+    columns = ", ".join(f"{c} string" for c in ("repo_id", *RAW_COLUMNS[stream]))
+    return spark.createDataFrame([], columns)
+
+
+def stream_paths(
+    spark: SparkSession, root: str, stream: str, layout: str = LAYOUT, repo_limit: int | None = None
+) -> dict[str, str]:
+    """Files of a stream in sorted order: path as the sources report it -> path to read. Contents are not read.
+
+    With ``repo_limit``, those of the first directories only, whether or not these have the stream.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def listed(pattern: str) -> list:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        return [s.getPath() for s in path.getFileSystem(conf).globStatus(path) or []]
+
+    pattern = layout.format(root=root.rstrip("/"), stream=stream)
+    files = listed(pattern)
+    if repo_limit is not None:
+        first = set(sorted(p.getName() for p in listed(pattern.rsplit("/", 1)[0]))[:repo_limit])
+        files = [p for p in files if p.getParent().getName() in first]
+    return dict(sorted((same_path(p.toUri().toString()), p.toString()) for p in files))
+
+
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """First line of every file that can be read and is not empty, found in one distributed job."""
+    if not paths:
+        return {}
+    lines = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(list(paths))
+    first = (
+        lines.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("order"),
+            "value",
+        )
+        .filter("start = 0")
+        .groupBy("path")
+        .agg(F.min_by("value", "order").alias("line"))
+    )
+    return {same_path(r["path"]): r["line"] for r in first.collect()}
+
+
+def header_of(line: str, sep: str = ",") -> tuple[str, ...]:
+    return tuple(next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), []))
+
+
+def same_path(path: str) -> str:
+    """One spelling of a local path: sources write ``file:/x`` and ``file:///x``."""
+    return "file:/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def _text_rows(spark: SparkSession, paths: Sequence[str], header: Sequence[str], multi_line: bool) -> DataFrame:
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        # Columns are matched by position, so a file with another header must not be read as this one.
-        .option("enforceSchema", False)
-        .option("ignoreCorruptFiles", tolerant)
-        .option("ignoreMissingFiles", tolerant)
+        .option("ignoreCorruptFiles", True)
+        .option("ignoreMissingFiles", True)
     )
-    if layout is None:
-        layout = reader.csv(schema_from or list(paths)).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in layout])
-    return reader.schema(schema).csv(list(paths)).withColumn("_path", F.col("_metadata.file_path"))
+    # A repeated name gets its place appended, so that the first one keeps the plain name.
+    names = [c if c not in header[:i] else f"{c}_{i}" for i, c in enumerate(header)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rows = reader.schema(schema).csv(list(paths))
+    return rows.withColumn("_path", F.col("_metadata.file_path"))
 
 
-def _empty(spark: SparkSession, stream: str) -> DataFrame:
-    types = [
-        f"{c} {'timestamp' if c in TIMES[stream] else 'bigint' if c == COUNTS.get(stream) else 'string'}"
-        for c in RAW_COLUMNS[stream]
-    ]
-    return spark.createDataFrame([], ", ".join(["repo_id string", *types]))
-
-
-def has_files(spark: SparkSession, pattern: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
-
-
-def scan_stream(
-    spark: SparkSession,
-    root: str,
-    stream: str,
-    layouts: Sequence[Sequence[str]] | None = None,
-    tolerant: bool = True,
-) -> DataFrame:
-    """``<root>/*/<stream>.csv`` of all repositories, typed, with ``repo_id`` from the directory.
-
-    Timestamps and counts that cannot be read become NULL. No file, or a missing
-    required column, gives an empty result. All files of a stream are expected to
-    share one header; where they do not, pass the headers in ``layouts``: each file
-    is read under the one it has. With ``tolerant`` an unreadable file, or one with
-    an unknown header, is skipped.
+def scan_text(
+    spark: SparkSession, root: str, stream: str, layout: str = LAYOUT, repo_limit: int | None = None, multi_line: bool = True
+) -> tuple[DataFrame, dict[str, str]]:
+    """(repo_id, _path, the stream's columns as text) of all readable files, and the status of every file.
+
+    Files with the same header are read together; a file is read under its own header and no other. Status is ``ok``,
+    ``could not read file`` or ``missing columns: ...``; such a file is left out alone.
     """
-    require_utc(spark)
-    pattern = f"{root.rstrip('/')}/*/{stream}.csv"
-    if not has_files(spark, pattern):
-        return _empty(spark, stream)
     wanted = RAW_COLUMNS[stream]
-    parts = []
-    for layout in layouts or [None]:
-        rows = _read_text_columns(spark, [pattern], layout, tolerant, None)
-        if not set(wanted) <= set(rows.columns):
-            continue
-        typed = rows.select(
-            F.element_at(F.split("_path", "/"), -2).alias("repo_id"),
-            *[
-                safe_timestamp(c).alias(c)
-                if c in TIMES[stream]
-                else F.expr(f"cast(try_cast({c} as double) as bigint)").alias(c)
-                if c == COUNTS.get(stream)
-                else F.col(c)
-                for c in wanted
-            ],
-        )
-        parts.append(typed)
+    paths = stream_paths(spark, root, stream, layout, repo_limit)
+    headers = {p: header_of(line) for p, line in first_lines(spark, list(paths.values())).items()}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    status = {}
+    for name, path in paths.items():
+        header = headers.get(name)
+        lacking = [c for c in wanted if c not in (header or ())]
+        if header is None:
+            status[name] = "could not read file"
+        elif lacking:
+            status[name] = "missing columns: " + ", ".join(lacking)
+        else:
+            status[name] = "ok"
+            groups.setdefault(header, []).append(path)
+    folder = F.element_at(F.split("_path", "/"), -2)
+    # reported paths are percent-encoded; a plus sign stands for itself
+    folder = F.when(F.contains(folder, F.lit("%")), F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(folder)
+    repo = F.regexp_replace(folder, "^repo_id=", "").alias("repo_id")
+    parts = [_text_rows(spark, p, h, multi_line).select(repo, "_path", *wanted) for h, p in groups.items()]
     if not parts:
-        return _empty(spark, stream)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    if stream in FILTERED:
-        result = result.filter(F.col(TIMES[stream][0]).isNotNull())
-    return result
+        return _empty(spark, stream).withColumn("_path", F.lit(None).cast("string")), status
+    return reduce(DataFrame.unionByName, parts), status
+
+
+def scan_stream(spark: SparkSession, root: str, stream: str, **options) -> DataFrame:
+    """One stream of all repositories, typed, with ``repo_id`` from the directory.
+
+    Every file is read under its own header, so column order and extra columns may
+    differ between files. A file that cannot be read or lacks a required column is
+    left out alone; :func:`scan_report` tells which. Timestamps and counts that
+    cannot be read become NULL. ``repo_limit`` reads the first directories only;
+    ``multi_line=False`` lets large files be split, for sources without quoted line
+    breaks. ``layout`` says where the files are.
+    """
+    require_utc(spark)
+    return typed_rows(scan_text(spark, root, stream, **options)[0], stream)
 
 
 def scan_commits(spark: SparkSession, root: str, **options) -> DataFrame:
@@ -125,23 +180,39 @@ def scan_repository_snapshots(spark: SparkSession, root: str, **options) -> Data
     return scan_stream(spark, root, "repository", **options)
 
 
+def scan_report(spark: SparkSession, root: str, stream: str, **options) -> DataFrame:
+    """(path, status, rows, rejected) of every file of a stream.
+
+    ``rejected`` counts times and counts that are given but cannot be read. A file that turns out to be damaged after
+    its header has the rows before the damage.
+    """
+    rows, status = scan_text(spark, root, stream, **options)
+    checked = [c for c in RAW_COLUMNS[stream] if c in TIMES[stream] or c == COUNTS.get(stream)]
+    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    bad = sum((given(c) & typed_column(stream, c).isNull()).cast("int") for c in checked)
+    clean = F.regexp_replace("_path", "^file:/+", "file:/")
+    counts = rows.groupBy(clean.alias("path")).agg(F.count("*").alias("rows"), F.sum(bad).alias("rejected"))
+    files = spark.createDataFrame(list(status.items()), "path string, status string")
+    zero = F.lit(0).cast("bigint")
+    return files.join(counts, "path", "left").select(
+        "path", "status", F.coalesce("rows", zero).alias("rows"), F.coalesce("rejected", zero).alias("rejected")
+    )
+
+
 def scan_streams(spark: SparkSession, root: str, **options) -> dict[str, DataFrame]:
+    """All streams; ``repo_limit`` takes the first directories in sorted order, the same for every stream."""
     return {stream: scan_stream(spark, root, stream, **options) for stream in RAW_COLUMNS}
 
 
-def rejected_times(text_rows: DataFrame, times: Sequence[str]) -> DataFrame:
-    """How many non-empty texts of each time column cannot be read; one row per column."""
-    counts = text_rows.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count_if(F.coalesce(F.trim(c), F.lit("")) != "").alias("given"),
-                F.count_if((F.coalesce(F.trim(c), F.lit("")) != "") & safe_timestamp(c).isNull()).alias("rejected"),
-            ).alias(c)
-            for c in times
-        ]
-    )
-    return counts.select(F.explode(F.array(*times)).alias("r")).select("r.*")
+def write_raw(rows: DataFrame, path: str) -> None:
+    """The columns of a stream as CSV text, one directory per repository; the inverse of a scan with its layout."""
+    text = [F.col(c).cast("string").alias(c) if c != "repo_id" else F.col(c) for c in rows.columns]
+    writer = rows.select(*text).repartition("repo_id").write.partitionBy("repo_id")
+    writer.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+
+
+#: Layout of what :func:`write_raw` writes for a stream below ``root``.
+WRITTEN_LAYOUT = "{root}/{stream}/*/*.csv"
 
 
 def convert_to_parquet(streams: Mapping[str, DataFrame], target: str) -> None:

@@ -7,12 +7,17 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.schemas import KEYS
 
-def write_panel(panel: DataFrame, path: str, csv: bool = True) -> None:
+
+def write_panel(panel: DataFrame, path: str, csv: bool = True, sort: bool = True) -> None:
     """``<path>.parquet`` and, unless switched off, ``<path>.csv``.
 
-    The CSV is written from the Parquet copy, so the panel is computed once.
+    With ``sort`` the rows are in ``(repo_id, year, quarter)`` order across and inside
+    the files, by range, so no task sees all of them. The CSV is written from the
+    Parquet copy, so the panel is computed once.
     """
+    panel = panel.orderBy(*KEYS) if sort else panel
     panel.write.mode("overwrite").parquet(f"{path}.parquet")
     if csv:
         saved = panel.sparkSession.read.parquet(f"{path}.parquet")

@@ -294,3 +294,22 @@ def test_prepare_evaluate_and_save(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "stats")).count() == 1
     sinks.write_evaluation(metrics, str(tmp_path / "eval"), {"run": "r1"})
     assert spark.read.json(str(tmp_path / "eval")).count() == 6
+
+
+def test_digest_keys_do_not_confuse_texts(spark):
+    import hashlib
+
+    long = "z" * 200
+    rows = [(long,), ("md5:" + hashlib.md5(long.encode()).hexdigest(),), ("a",), (None,), (None,)]
+    table = spark.createDataFrame(rows, "t string")
+    assert D.duplicate_rows(table).first().duplicates == 1
+    assert D.column_profile(table).first().distinct_values == 3
+
+
+@pytest.mark.parametrize("shares", [(0.85, 1.0), (0.0, 0.5), (0.9, 0.8)])
+def test_split_shares_must_rise_between_zero_and_one(spark, shares):
+    rows = spark.createDataFrame([(i,) for i in range(5)], "target_quarter_index int")
+    with pytest.raises(ValueError):
+        T.temporal_split(rows, *shares)
+    with pytest.raises(ValueError):
+        T.ordered_cut(rows, 1.0)

@@ -90,22 +90,42 @@ def test_missing_files_and_columns_give_nothing(spark, root, tmp_path):
     assert raw.scan_repository_snapshots(spark, str(tmp_path)).count() == 0
 
 
-def test_files_with_another_header_are_read_by_layout_only(spark, tmp_path):
-    for repo, text in (
-        ("r1", "starred_at,user_login\n2020-01-01,ann\n"),
-        ("r2", "user_login,starred_at\nbob,2021-01-01\n"),
-    ):
+HEADERS = {
+    "r0": "user_name,starred_at\nzed,2019-01-01\n",  # the first file lacks a required column
+    "r1": "starred_at,user_login\n2020-01-01,ann\nx,amy\n,al\n",
+    "r2": "user_login,starred_at\nbob,2021-01-01\n",
+    "r3": 'user_login,note,starred_at\ncyd,"two\nlines",2022-01-01\n',
+    "r4 +é": "starred_at,user_login\n2023-01-01,dan\n",
+    "r5": "",
+}
+
+
+@pytest.fixture
+def stargazers(tmp_path):
+    for repo, text in HEADERS.items():
         (tmp_path / repo).mkdir()
         (tmp_path / repo / "stargazers.csv").write_text(text)
-    layouts = [["starred_at", "user_login"], ["user_login", "starred_at"]]
-    both = raw.scan_stargazers(spark, str(tmp_path), layouts=layouts).orderBy("repo_id").collect()
-    assert [(r.repo_id, r.user_login, r.starred_at.year) for r in both] == [("r1", "ann", 2020), ("r2", "bob", 2021)]
-    assert raw.scan_stargazers(spark, str(tmp_path), layouts=layouts[:1]).count() == 1
+    return str(tmp_path)
 
 
-def test_rejected_times(spark):
-    rows = spark.createDataFrame([("2020-01-01",), ("x",), ("",), (None,)], "t string")
-    assert raw.rejected_times(rows, ["t"]).first()[1:] == (2, 1)
+def test_every_file_is_read_under_its_own_header(spark, stargazers):
+    rows = raw.scan_stargazers(spark, stargazers).orderBy("repo_id").collect()
+    assert [(r.repo_id, r.user_login, r.starred_at.year) for r in rows] == [
+        ("r1", "ann", 2020), ("r2", "bob", 2021), ("r3", "cyd", 2022), ("r4 +é", "dan", 2023),
+    ]
+
+
+def test_scan_report_names_what_was_left_out(spark, stargazers):
+    found = {r.path.split("/")[-2][:2]: (r.status, r.rows, r.rejected) for r in raw.scan_report(spark, stargazers, "stargazers").collect()}
+    assert found == {
+        "r0": ("missing columns: user_login", 0, 0), "r1": ("ok", 3, 1), "r2": ("ok", 1, 0), "r3": ("ok", 1, 0),
+        "r4": ("ok", 1, 0), "r5": ("could not read file", 0, 0),
+    }
+
+
+def test_repo_limit_reads_the_first_directories_only(spark, stargazers):
+    assert [p.split("/")[-2] for p in raw.stream_paths(spark, stargazers, "stargazers", repo_limit=3)] == ["r0", "r1", "r2"]
+    assert {r.repo_id for r in raw.scan_streams(spark, stargazers, repo_limit=3)["stargazers"].collect()} == {"r1", "r2"}
 
 
 def test_one_pass_panel_equals_stream_joins(spark):
@@ -138,6 +158,11 @@ def test_sinks_and_scans_round_trip(spark, tmp_path):
     sinks.write_panel(panel, f"{tmp_path}/panel")
     assert files.read_panel(spark, f"{tmp_path}/panel.parquet").exceptAll(panel).count() == 0
     assert files.scan_file(spark, f"{tmp_path}/panel.csv", "csv").count() == 280
+    parts = [
+        [(r.repo_id, r.year, r.quarter) for r in spark.read.parquet(str(p)).collect()]
+        for p in sorted((tmp_path / "panel.parquet").glob("part-*"))
+    ]
+    assert sum(parts, []) == sorted(sum(parts, []))
 
 
 def test_mixed_formats_and_inventory(spark, tmp_path):
@@ -146,6 +171,9 @@ def test_mixed_formats_and_inventory(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"k": 1}\n{"k": 2}\n')
     (tmp_path / "d.json").write_text('[\n {"k": 1, "m": 2},\n {"k": 3}\n]\n')
     (tmp_path / "f.txt").write_text("no reader")
+    (tmp_path / "g.json").write_text('{"k": 1}\n{"k": 2}\n{"k": \n{"k": 3}\n')
+    (tmp_path / "h.parquet").write_text("not parquet")
+    (tmp_path / "i.json").write_text("7\n")
     with gzip.open(tmp_path / "e.csv.gz", "wt") as out:
         out.write("p,q,r\n1,2,3\n")
     counts = {n: files.scan_file(spark, f"{tmp_path}/{n}").count() for n in ("a.csv", "b.tsv", "c.jsonl", "d.json", "e.csv.gz")}
@@ -154,6 +182,9 @@ def test_mixed_formats_and_inventory(spark, tmp_path):
     assert found["f.txt"].status == "no reader" and found["f.txt"].rows is None
     assert (found["a.csv"].rows, found["a.csv"].columns) == (1, 2)
     assert (found["e.csv.gz"].rows, found["e.csv.gz"].columns) == (1, 3)
-    assert found["d.json"].columns == 2
+    assert (found["d.json"].rows, found["d.json"].columns, found["d.json"].status) == (2, 2, "ok")
+    assert (found["g.json"].rows, found["g.json"].status) == (3, "1 unreadable lines")
+    assert files.scan_file(spark, f"{tmp_path}/g.json").count() == 3
+    assert found["h.parquet"].status == "could not read file" and found["c.jsonl"].rows == 2
     with pytest.raises(ValueError):
         files.scan_file(spark, f"{tmp_path}/f.txt")
