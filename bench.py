@@ -7,7 +7,7 @@ import os
 import time
 
 from cadence.plans.catalog import QUERIES
-from cadence.session import get_session
+from cadence.session import get_session, release
 
 HEADLINE = (
     "quarterly_commits",
@@ -45,6 +45,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    release(spark)
     total = round(sum(seconds.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf}))
