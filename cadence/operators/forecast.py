@@ -297,16 +297,16 @@ def invalid_history(history: Column) -> Column:
     return F.when(
         history.isNull() | (size < MIN_QUARTERS),
         F.concat(
-            F.lit("Sequence too short: got "), size.cast("string"), F.lit(f" quarters, minimum required is {MIN_QUARTERS}")
+            F.lit("history of "), size.cast("string"), F.lit(f" quarter(s), but a forecast takes {MIN_QUARTERS} or more")
         ),
     ).when(
         bad >= 0,
         F.concat(
-            F.lit("Quarter "),
+            F.lit("history row "),
             bad.cast("string"),
-            F.lit(" has "),
+            F.lit(" holds "),
             F.coalesce(F.size(F.get(history, bad.cast("int"))), F.lit(0)).cast("string"),
-            F.lit(f" metrics, expected {width}"),
+            F.lit(f" values instead of {width}"),
         ),
     )
 

@@ -450,8 +450,8 @@ aged AS (
   FROM indexed),
 req AS (SELECT repo_id, num, count(*) AS len, {means} FROM aged WHERE age <= num % 6 + 1 GROUP BY ALL),
 err AS (
-  SELECT *, CASE WHEN len < 2 THEN 'Sequence too short: got ' || len || ' quarters, minimum required is 2'
-    WHEN num % 7 = 0 THEN 'Quarter ' || (len - 1) || ' has 3 metrics, expected 8' END AS error,
+  SELECT *, CASE WHEN len < 2 THEN 'history of ' || len || ' quarter(s), but a forecast takes 2 or more'
+    WHEN num % 7 = 0 THEN 'history row ' || (len - 1) || ' holds 3 values instead of 8' END AS error,
     {_score([f"m_{c}" for c in FEATURES])} AS sc, (SELECT threshold FROM thr) AS t FROM req)
 SELECT repo_id, error, CASE WHEN error IS NULL THEN round(sc, 6) END AS activity_score,
   CASE WHEN error IS NULL THEN CASE WHEN sc >= t THEN 'active' ELSE 'inactive' END END AS activity_status,

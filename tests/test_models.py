@@ -149,8 +149,8 @@ def test_forecast_activity_requests(spark):
             ("long", history([0] * 9 + [2]))]
     df = spark.createDataFrame(rows, "id string, history array<array<double>>")
     got = {r.id: r for r in FC.forecast_activity(df, FC.MovingAverage(), F.lit(1319.5)).collect()}
-    assert "too short" in got["short"].error and "too short" in got["none"].error
-    assert got["bad"].error == "Quarter 1 has 3 metrics, expected 8" and got["bad"].activity_status is None
+    assert got["short"].error.startswith("history of 1 ") and got["none"].error.startswith("history of 0 ")
+    assert got["bad"].error == "history row 1 holds 3 values instead of 8" and got["bad"].activity_status is None
     two, long = got["two"], got["long"]
     assert two.error is None and two.activity_score == 3650.0 and two.activity_status == "active"
     assert two.sequence_info.padded and two.confidence.classification == "high"
