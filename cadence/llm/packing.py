@@ -28,7 +28,7 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group; tokens that a task holds back to choose from; words that a worker remembers.
 STEP_TOKENS = 65_536
 BUFFER_TOKENS = 2_000_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 900_000
 BLOCK_CHARS = 1_000_000
 
 
