@@ -2,8 +2,9 @@
 
 Two documents link when the Jaccard similarity of their shingle sets reaches a threshold. Then they share a shingle
 among the first ``n - ceil(t n) + 1`` of each set, in any order that all documents agree on. Shingles known to be rare
-come first in that order, those known to be frequent last. What is known is a bitmap of fixed size that reducers build
-from counts of one half of all shingles: it decides how many candidates there are, never what is found.
+come first in that order, those of one document before all others, then ever more frequent ones. What is known are
+bitmaps of fixed size that reducers build from counts of one half of all shingles, copies of a set counted once: they
+decide how many candidates there are, never what is found.
 
 Documents that meet at a prefix shingle form candidate families. Each family is cut into blocks by size; a task takes
 two blocks, multiplies their incidence matrices column slice by column slice, adds up the overlaps and stops as soon
@@ -26,11 +27,10 @@ from cadence.session import materialize
 
 WORDS_PER_SHINGLE = 5
 PERCENT = 80
-#: Bits of the bitmap of frequent shingles (16 MB) and of candidate documents (2 MB); both are sizes, not limits.
-FREQUENT_BITS = 1 << 27
+#: Classes of frequency: from so many documents on, and bits of the bitmap of such shingles (21 MB in all); and bits of
+#: the bitmap of candidate documents (2 MB). All are sizes, not limits.
+FREQUENT = ((2, 1 << 27), (24, 1 << 25), (200, 1 << 22), (1600, 1 << 20))
 CANDIDATE_BITS = 1 << 24
-#: A shingle of the counted half is frequent from so many documents on.
-FREQUENT_FROM = 3
 #: Shingles of a block; a document counts as at least BLOCK_SHINGLES / 250, so a block has at most 250 documents.
 BLOCK_SHINGLES = 200_000
 COLUMNS = 4096
@@ -71,7 +71,6 @@ def shingles(text: str | None, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(33)))
 
 
-
 def document_position(ids: np.ndarray) -> np.ndarray:
     mixed = (ids.astype(np.int64).astype(np.uint64) + np.uint64(1)) * MIX[0]
     return (mixed >> np.uint64(40)).astype(np.int64) & (CANDIDATE_BITS - 1)
@@ -105,8 +104,8 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return materialize(_mapped(docs, one, "id bigint, n bigint, digest binary"), "sets")
 
 
-def frequent_bitmap(docs: DataFrame, blocks: int, least: int = FREQUENT_FROM) -> np.ndarray:
-    """Positions of the counted shingles that at least ``least`` documents have.
+def frequent_bitmaps(docs: DataFrame, blocks: int) -> list[np.ndarray]:
+    """A bitmap per class of frequency: positions of the counted shingles that so many documents or more have.
 
     A task sends, per block of the hash range, its distinct shingles as packed 32-bit integers and which of them it
     had more than once, so a hot shingle is one entry per task.
@@ -122,9 +121,9 @@ def frequent_bitmap(docs: DataFrame, blocks: int, least: int = FREQUENT_FROM) ->
             part = slice(starts[b], starts[b + 1])
             if starts[b] < starts[b + 1]:
                 base = -(-b * FREQUENT_SPAN // blocks)
-                own, many = (values[part] - base).astype("<u4"), np.minimum(counts[part], 255)
+                own, many = (values[part] - base).astype("<u4"), np.minimum(counts[part], 65_535)
                 often = np.flatnonzero(many > 1)
-                rows.append((b, own.tobytes(), often.astype("<u4").tobytes(), many[often].astype(np.uint8).tobytes()))
+                rows.append((b, own.tobytes(), often.astype("<u4").tobytes(), many[often].astype("<u2").tobytes()))
         yield pd.DataFrame(rows, columns=["block", "entries", "often", "times"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,13 +144,17 @@ def frequent_bitmap(docs: DataFrame, blocks: int, least: int = FREQUENT_FROM) ->
         for own, often, times in zip(rows["entries"], rows["often"], rows["times"], strict=True):
             entries.append(np.frombuffer(own, "<u4"))
             weights.append(np.ones(len(entries[-1]), np.int64))
-            weights[-1][np.frombuffer(often, "<u4")] = np.frombuffer(times, np.uint8)
+            weights[-1][np.frombuffer(often, "<u4")] = np.frombuffer(times, "<u2")
         values, where = np.unique(np.concatenate(entries), return_inverse=True)
-        many = np.bincount(where, np.concatenate(weights)) >= least
-        return pd.DataFrame({"pos": np.unique(span_position(values[many].astype(np.int64) + base))})
+        documents = np.bincount(where, np.concatenate(weights))
+        classes = [values[documents >= least].astype(np.int64) + base for least, _ in FREQUENT]
+        found = [np.unique(span_position(v, bits)) for v, (_, bits) in zip(classes, FREQUENT, strict=True)]
+        level = np.repeat(np.arange(len(found)), list(map(len, found)))
+        return pd.DataFrame({"level": level, "pos": np.concatenate(found)})
 
     packed = docs.select("text").mapInPandas(run, "block bigint, entries binary, often binary, times binary")
-    return bitmap(packed.groupBy("block").applyInPandas(count, "pos bigint"), FREQUENT_BITS)
+    positions = materialize(packed.groupBy("block").applyInPandas(count, "level bigint, pos bigint"), "frequent")
+    return [bitmap(positions.filter(F.col("level") == i), bits) for i, (_, bits) in enumerate(FREQUENT)]
 
 
 #: Leading bits of a shingle's hash that tell shingles apart when they are counted.
@@ -159,33 +162,37 @@ SPAN_BITS = 40
 FREQUENT_SPAN = 1 << SPAN_BITS
 
 
-def span_position(leading: np.ndarray) -> np.ndarray:
+def span_position(leading: np.ndarray, bits: int) -> np.ndarray:
     """The bit of a shingle, from the leading bits of its hash."""
     mixed = leading.astype(np.uint64) * MIX[1]
-    return (mixed >> np.uint64(20)).astype(np.int64) & (FREQUENT_BITS - 1)
+    return (mixed >> np.uint64(20)).astype(np.int64) & (bits - 1)
+
 
+def prefix(found: np.ndarray, frequent: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """The shingles of which two linked sets share at least one: by class of frequency, then by hash.
 
-def prefix(found: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles of which two linked sets share at least one: rare ones first, then the others by hash."""
+    Shingles that were not counted stand before the last class.
+    """
     n = len(found)
     length = n - (percent * n + 99) // 100 + 1
-    known = counted(found)
-    bits = test_bits(frequent, span_position((found >> np.uint64(64 - SPAN_BITS)).astype(np.int64)))
-    level = np.where(known, np.where(bits, 2, 0), 1)
+    leading = (found >> np.uint64(64 - SPAN_BITS)).astype(np.int64)
+    level = sum(test_bits(m, span_position(leading, b)).astype(float) for m, (_, b) in zip(frequent, FREQUENT, strict=True))
+    level = np.where(counted(found), level, len(FREQUENT) - 0.5)
     return found[np.lexsort((found, level))[:length]]
 
 
-def candidate_edges(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(a, b): each document with the first one at each of its prefix shingles.
+def candidate_edges(docs: DataFrame, frequent: list[np.ndarray], percent: int) -> DataFrame:
+    """(a, b): each document with the first one of its chain at each of its prefix shingles.
 
-    A task skips sets that it has just seen. The rows of a shingle stream through their task in order of id.
+    The rows of a shingle stream through their task in order of size. A step in size that no link can cross starts a
+    new chain. A task skips sets that it has just seen.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for batch in batches:
-            ids, parts = [], []
+            ids, sizes, parts = [], [], []
             for i, text in zip(batch["id"], batch["text"], strict=True):
                 found = shingles(text)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
@@ -195,28 +202,30 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, percent: int) -> Data
                     seen.add(digest)
                     parts.append(prefix(found, shared.value, percent))
                     ids.append(np.full(len(parts[-1]), i, np.int64))
+                    sizes.append(np.full(len(parts[-1]), len(found), np.int64))
             if parts:
-                yield pd.DataFrame({"h": signed(np.concatenate(parts)), "id": np.concatenate(ids)})
+                h = signed(np.concatenate(parts))
+                yield pd.DataFrame({"h": h, "n": np.concatenate(sizes), "id": np.concatenate(ids)})
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_h, leader = None, None
+        last_h, last_n, leader = None, 0, None
         for batch in batches:
             if not len(batch):
                 continue
-            h, i = batch["h"].to_numpy(), batch["id"].to_numpy()
+            h, n, i = (batch[c].to_numpy() for c in ("h", "n", "id"))
             fresh = np.ones(len(h), bool)
-            fresh[1:] = h[1:] != h[:-1]
-            fresh[0] = h[0] != last_h
+            fresh[1:] = (h[1:] != h[:-1]) | (percent * n[1:] > 100 * n[:-1])
+            fresh[0] = h[0] != last_h or percent * n[0] > 100 * last_n
             heads = np.where(fresh, np.arange(len(h)), -1)
             heads = np.maximum.accumulate(heads)
             leaders = np.where(heads >= 0, i[heads], leader if leader is not None else 0)
             edge = leaders != i
-            last_h, leader = h[-1], leaders[-1]
+            last_h, last_n, leader = h[-1], n[-1], leaders[-1]
             if edge.any():
                 yield pd.DataFrame({"a": leaders[edge], "b": i[edge]}).drop_duplicates()
 
-    rows = docs.mapInPandas(emit, "h bigint, id bigint")
-    ordered = rows.repartition("h").sortWithinPartitions("h", "id")
+    rows = docs.mapInPandas(emit, "h bigint, n bigint, id bigint")
+    ordered = rows.repartition("h").sortWithinPartitions("h", "n", "id")
     return ordered.mapInPandas(stars, "a bigint, b bigint").distinct()
 
 
@@ -294,7 +303,8 @@ def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 def block_pairs(families: DataFrame, percent: int) -> DataFrame:
     """(family, low, high, id): each document with every pair of blocks that its block is part of.
 
-    ``families`` has (id, family, n). Blocks are ordered by size; two whose sizes are too far apart to link are left out.
+    ``families`` has (id, family, n). Blocks are ordered by size; two whose sizes are too far apart to link are left out,
+    and so are documents too far in size from all of the other block.
     """
     by_size = Window.partitionBy("family").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
     weight = F.sum(F.greatest("n", F.lit(BLOCK_SHINGLES // 250))).over(by_size)
@@ -304,10 +314,11 @@ def block_pairs(families: DataFrame, percent: int) -> DataFrame:
     low = ranges.select("family", F.col("block").alias("low"), F.col("most").alias("low_most"))
     high = ranges.select("family", F.col("block").alias("high"), F.col("least").alias("high_least"))
     pairs = low.join(high, "family").filter(F.col("low") <= F.col("high"))
-    pairs = pairs.filter(percent * F.col("high_least") <= 100 * F.col("low_most")).select("family", "low", "high")
-    pairs = materialize(pairs, "block-pairs")
+    pairs = pairs.filter(percent * F.col("high_least") <= 100 * F.col("low_most"))
+    pairs = materialize(pairs.select("family", "low", "high", "low_most", "high_least"), "block-pairs")
     ends = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
-    return placed.join(ends, ["family", "block"]).select("family", "low", "high", "block", "id", "n")
+    near = (100 * F.col("n") >= percent * F.col("high_least")) & (percent * F.col("n") <= 100 * F.col("low_most"))
+    return placed.join(ends, ["family", "block"]).filter(near).select("family", "low", "high", "block", "id", "n")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -324,8 +335,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     groups = materialize(groups, "groups")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    frequent = frequent_bitmap(rows, int(max(16, total // 2_000_000)))
-    edges = materialize(candidate_edges(rows, frequent, percent), "candidates")
+    # Copies would make every shingle of their text look frequent.
+    single = _marked(rows, groups.select("rep"))
+    frequent = frequent_bitmaps(single, int(max(16, total // 2_000_000)))
+    edges = materialize(candidate_edges(single, frequent, percent), "candidates")
     to_rep = sets.join(groups, "digest").select("id", "rep")
     mapped = edges.join(to_rep.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a")
     mapped = mapped.join(to_rep.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
@@ -357,16 +370,25 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids``, and by chance a few others."""
+    place = F.pandas_udf(lambda found: pd.Series(document_position(found.to_numpy())), "bigint")
+    marks = bitmap(ids.toDF("id").select(place("id").alias("pos")), CANDIDATE_BITS)
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def one(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield batch[test_bits(shared.value, document_position(batch["id"].to_numpy()))]
+
+    return _mapped(rows, one, "id bigint, text string")
+
+
 def _member_sets(rows: DataFrame, sized: DataFrame) -> DataFrame:
     """(id, copies, members): the sets of the documents in families. Other texts are dropped before they move."""
-    place = F.pandas_udf(lambda ids: pd.Series(document_position(ids.to_numpy())), "bigint")
-    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(sized.select(place("id").alias("pos")), CANDIDATE_BITS))
 
     def one(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        batch = batch[test_bits(wanted.value, document_position(batch["id"].to_numpy()))]
         yield pd.DataFrame({"id": batch["id"], "members": [shingles(t).tobytes() for t in batch["text"]]})
 
-    found = _mapped(rows, one, "id bigint, members binary")
+    found = _mapped(_marked(rows, sized.select("id")), one, "id bigint, members binary")
     return found.join(sized.select("id", "copies"), "id").dropDuplicates(["id"])
 
 
