@@ -3,8 +3,8 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches a threshold. Then they share a shingle
 among the first ``n - ceil(t n) + 1`` of each set, in any order that all documents agree on. Shingles known to be rare
 come first in that order, those of one document before all others, then ever more frequent ones. What is known are
-bitmaps of fixed size that reducers build from counts of one half of all shingles, copies of a set counted once: they
-decide how many candidates there are, never what is found.
+bitmaps of fixed size that reducers build from counts of all shingles, copies of a set counted once: they decide how
+many candidates there are, never what is found. A shingle of one document cannot be shared and is not sent on.
 
 Documents that meet at a prefix shingle form candidate families. Each family is cut into blocks by size; a task takes
 two blocks, multiplies their incidence matrices column slice by column slice, adds up the overlaps and stops as soon
@@ -76,11 +76,6 @@ def document_position(ids: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(40)).astype(np.int64) & (CANDIDATE_BITS - 1)
 
 
-def counted(hashes: np.ndarray) -> np.ndarray:
-    """The half of all shingles that is counted."""
-    return (hashes & np.uint64(1)) == 0
-
-
 def signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
@@ -105,7 +100,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
 
 
 def frequent_bitmaps(docs: DataFrame, blocks: int) -> list[np.ndarray]:
-    """A bitmap per class of frequency: positions of the counted shingles that so many documents or more have.
+    """A bitmap per class of frequency: positions of the shingles that so many documents or more have.
 
     A task sends, per block of the hash range, its distinct shingles as packed 32-bit integers and which of them it
     had more than once, so a hot shingle is one entry per task.
@@ -131,7 +126,7 @@ def frequent_bitmaps(docs: DataFrame, blocks: int) -> list[np.ndarray]:
         for batch in batches:
             for text in batch["text"]:
                 found = shingles(text)
-                held.append((found[counted(found)] >> np.uint64(64 - SPAN_BITS)).astype(np.int64))
+                held.append((found >> np.uint64(64 - SPAN_BITS)).astype(np.int64))
                 size += len(held[-1])
                 if size >= 3_000_000:
                     yield from pack(held)
@@ -160,6 +155,8 @@ def frequent_bitmaps(docs: DataFrame, blocks: int) -> list[np.ndarray]:
 #: Leading bits of a shingle's hash that tell shingles apart when they are counted.
 SPAN_BITS = 40
 FREQUENT_SPAN = 1 << SPAN_BITS
+#: With so many blocks or more, an offset within a block fits in 32 bits.
+LEAST_BLOCKS = 1 << (SPAN_BITS - 32)
 
 
 def span_position(leading: np.ndarray, bits: int) -> np.ndarray:
@@ -171,14 +168,14 @@ def span_position(leading: np.ndarray, bits: int) -> np.ndarray:
 def prefix(found: np.ndarray, frequent: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """The shingles of which two linked sets share at least one: by class of frequency, then by hash.
 
-    Shingles that were not counted stand before the last class.
+    Those that only one document has take their places but are left out of the result.
     """
     n = len(found)
     length = n - (percent * n + 99) // 100 + 1
     leading = (found >> np.uint64(64 - SPAN_BITS)).astype(np.int64)
-    level = sum(test_bits(m, span_position(leading, b)).astype(float) for m, (_, b) in zip(frequent, FREQUENT, strict=True))
-    level = np.where(counted(found), level, len(FREQUENT) - 0.5)
-    return found[np.lexsort((found, level))[:length]]
+    level = sum(test_bits(m, span_position(leading, b)).astype(int) for m, (_, b) in zip(frequent, FREQUENT, strict=True))
+    first = np.lexsort((found, level))[:length]
+    return found[first[level[first] > 0]]
 
 
 def candidate_edges(docs: DataFrame, frequent: list[np.ndarray], percent: int) -> DataFrame:
@@ -337,7 +334,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = sets.agg(F.sum("n")).first()[0] or 0
     # Copies would make every shingle of their text look frequent.
     single = _marked(rows, groups.select("rep"))
-    frequent = frequent_bitmaps(single, int(max(16, total // 2_000_000)))
+    frequent = frequent_bitmaps(single, int(max(LEAST_BLOCKS, total // 2_000_000)))
     edges = materialize(candidate_edges(single, frequent, percent), "candidates")
     to_rep = sets.join(groups, "digest").select("id", "rep")
     mapped = edges.join(to_rep.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a")

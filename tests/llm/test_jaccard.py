@@ -55,6 +55,24 @@ def test_large_family_of_near_copies_in_many_blocks(spark, monkeypatch):
     assert rows(docs) == brute(by_id(docs))
 
 
+def test_bitmaps_hold_every_shared_shingle(spark):
+    rng = random.Random(2)
+    shared = " ".join(f"s{i}" for i in range(400))
+    texts = [shared + " " + " ".join(f"u{k}-{rng.random()}" for _ in range(200)) for k in range(3)]
+    docs = documents(spark, texts).selectExpr("doc_id AS id", "text")
+    frequent = J.frequent_bitmaps(docs, J.LEAST_BLOCKS)
+    sets = [J.shingles(t) for t in texts]
+    both = np.intersect1d(sets[0], sets[1])
+    assert len(both) == 396
+    own = np.setdiff1d(sets[0], both)
+    place = lambda found: J.span_position((found >> np.uint64(64 - J.SPAN_BITS)).astype(np.int64), J.FREQUENT[0][1])
+    assert J.test_bits(frequent[0], place(both)).all()
+    assert J.test_bits(frequent[0], place(own)).sum() <= 2
+    # A third of the set is unshared, so no other set can be similar enough.
+    assert len(J.prefix(sets[0], frequent)) == 0
+    assert set(J.prefix(sets[0], frequent, 50)) <= set(both)
+
+
 def test_block_product_and_bounds():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for _ in range(30)]
