@@ -5,8 +5,11 @@ from __future__ import annotations
 from cadence.llm import (
     bpe,
     chat,
+    conversation_trie,
+    decontaminate,
     exact_dedup,
     jaccard,
+    lexical_search,
     packing,
     quality_classifier,
     quality_rules,
@@ -26,7 +29,16 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_decontamination": decontaminate.op11_decontamination,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 #: The others are tested against brute-force versions in tests/llm.
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_warc": warc.OP3_SQL}
+ORACLE_SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_warc": warc.OP3_SQL,
+    "op11_decontamination": decontaminate.OP11_SQL,
+    "op12_conversation_trie": conversation_trie.OP12_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
+}
