@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.sources.raw import first_lines, header_of, same_path
+from cadence.sources.blocks import describe
 
 # Endings that are read, and the format of each.
 FORMATS = {
@@ -34,43 +32,22 @@ def format_of(path: str) -> str | None:
     return FORMATS[max(matches, key=len)] if matches else None
 
 
-def json_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, dict]:
-    """Per file of JSON text: ``document`` or not, good and bad lines, and the keys of the first good line.
+def described(listed: DataFrame) -> DataFrame:
+    """``columns``, ``rows``, ``status`` and ``document`` added to (path, size_mb, format), found by tasks.
 
-    A file is one document if its first line is not a record of its own and the whole parses; otherwise it has a
-    record per line, and lines that do not parse are bad.
+    Parquet files give their footer, text files are streamed. ``document`` tells whether a JSON file is one document: its
+    first line is no record of its own and the whole parses, for which a task holds that file.
     """
-    if not paths:
-        return {}
-    reader = spark.read.option("ignoreCorruptFiles", True)
-    lines = reader.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("order"), F.trim("value").alias("line")
-    )
-    good = F.col("line").startswith("{") & F.try_parse_json("line").isNotNull()
-    per_file = (
-        lines.filter("line <> ''")
-        .groupBy("path")
-        .agg(
-            F.count_if(good).alias("good"),
-            F.count_if(~good).alias("bad"),
-            F.min_by(good, "order").alias("starts_good"),
-            F.size(F.json_object_keys(F.min_by("line", F.when(good, F.col("order"))))).alias("columns"),
-        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [describe(path, fmt) for path, fmt in zip(batch["path"], batch["format"], strict=True)]
+            made = pd.DataFrame(found, columns=["columns", "rows", "status", "document"], dtype=object)
+            yield pd.concat([batch.reset_index(drop=True), made], axis=1)
+
+    return listed.mapInPandas(
+        run, "path string, size_mb double, format string, columns bigint, rows bigint, status string, document boolean"
     )
-    found = {same_path(r["path"]): r.asDict() for r in per_file.collect()}
-    by_name = {same_path(p): p for p in paths}
-    whole = [p for name, p in by_name.items() if name in found and not found[name]["starts_good"]]
-    if whole:
-        schema = "_record string, _bad string"
-        parsed = reader.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(schema).json(whole)
-        parsed = parsed.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-            F.count("*").alias("records"),
-            F.count("_bad").alias("broken"),
-            F.count("_record").alias("with_record"),  # the reader wants a column beside the bad text
-        )
-        for r in parsed.collect():
-            found[same_path(r["path"])] |= {"document": not r["broken"], "records": r["records"]}
-    return found
 
 
 def scan_file(spark: SparkSession, path: str, fmt: str | None = None, limit: int | None = None) -> DataFrame:
@@ -89,10 +66,10 @@ def scan_file(spark: SparkSession, path: str, fmt: str | None = None, limit: int
             path, header=True, sep="\t" if fmt == "tsv" else ",", inferSchema=True, multiLine=True, escape='"'
         )
     elif fmt in ("json", "jsonl"):
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-        found = json_files(spark, [r["path"] for r in listed.collect()])
-        documents = [p for p, f in found.items() if f.get("document")]
-        lines = [p for p in found if p not in documents]
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        kinds = described(listed.select("path", F.lit(0.0).alias("size_mb"), F.lit("json").alias("format"))).collect()
+        documents = [r["path"] for r in kinds if r["document"]]
+        lines = [r["path"] for r in kinds if r["rows"] and not r["document"]]
         good = spark.read.option("mode", "DROPMALFORMED")
         parts = [good.json(lines)] if lines else []
         parts += [spark.read.option("multiLine", True).json(documents)] if documents else []
@@ -133,59 +110,11 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _parquet_columns(spark: SparkSession, path: str) -> int | None:
-    """Columns by the footer alone; None if it cannot be read."""
-    try:
-        return len(spark.read.parquet(path).columns)
-    except (AnalysisException, Py4JJavaError, PySparkException):
-        return None
-
-
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Path, format, size, rows, columns and status of every supported file below ``root``.
+    """Path, size, format, columns, rows and status of every supported file below ``root``, one task per some files.
 
-    Rows are counted by Spark's readers, all files of a format together. Status is ``ok``, ``no reader``, ``could not
-    read file``, or the number of unreadable lines of JSON text, whose rows are its good lines. The driver holds the
-    list of files.
+    Status is ``ok``, ``no reader``, ``could not read file``, ``damaged after n rows``, ``last row incomplete``, or the
+    number of unreadable lines of JSON text, whose rows are its good lines.
     """
-    listed = list_files(spark, root).collect()
-    paths = {f: [r["path"] for r in listed if r["format"] == f] for f in {r["format"] for r in listed}}
-    columns: dict[str, int | None] = {}
-    rows: dict[str, int] = {}
-    notes: dict[str, str] = {}
-
-    def count(found: DataFrame) -> None:
-        per_file = found.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-        rows.update({same_path(r["path"]): r["rows"] for r in per_file.collect()})
-
-    tolerant = spark.read.option("ignoreCorruptFiles", True)
-    if "parquet" in paths:
-        with ThreadPoolExecutor(8) as pool:
-            widths = pool.map(lambda p: _parquet_columns(spark, p), paths["parquet"])
-            columns.update(zip(map(same_path, paths["parquet"]), widths))
-        readable = [p for p in paths["parquet"] if columns[same_path(p)] is not None]
-        if readable:
-            count(tolerant.schema("_none string").parquet(*readable))
-    for fmt, sep in (("csv", ","), ("tsv", "\t")):
-        if fmt in paths:
-            lines = first_lines(spark, paths[fmt])
-            columns.update({p: len(header_of(line, sep)) for p, line in lines.items()})
-            options = {"header": True, "multiLine": True, "escape": '"', "sep": sep}
-            count(tolerant.options(**options).schema("first string").csv(paths[fmt]))
-    for fmt in ("json", "jsonl"):
-        for path, found in json_files(spark, paths.get(fmt, [])).items():
-            if found.get("document"):
-                rows[path] = found["records"]
-                columns[path] = len(spark.read.option("multiLine", True).json(path).columns)
-            elif found["good"]:
-                rows[path], columns[path] = found["good"], found["columns"]
-                if found["bad"]:
-                    notes[path] = f"{found['bad']} unreadable lines"
-
-    made = []
-    for r in listed:
-        path, readable = same_path(r["path"]), r["format"] != "unsupported"
-        width = columns.get(path)
-        status = "no reader" if not readable else "could not read file" if width is None else notes.get(path, "ok")
-        made.append((r["path"], r["size_mb"], r["format"], width, rows.get(path, 0) if readable else None, status))
-    return spark.createDataFrame(made, "path string, size_mb double, format string, columns bigint, rows bigint, status string")
+    found = described(list_files(spark, root))
+    return found.select("path", "size_mb", "format", "columns", "rows", "status")

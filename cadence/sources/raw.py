@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import csv
+import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cadence.functions.columns import safe_timestamp
 from cadence.schemas import RAW_COLUMNS
 from cadence.session import require_utc
+from cadence.sources.blocks import OK, PIECE_BYTES, UNREADABLE, csv_task
 
 TIMES = {
     "commits": ("author_date",),
@@ -43,107 +43,76 @@ def typed_rows(rows: DataFrame, stream: str) -> DataFrame:
     return typed.filter(F.col(TIMES[stream][0]).isNotNull()) if stream in FILTERED else typed
 
 
-def _empty(spark: SparkSession, stream: str) -> DataFrame:
-    columns = ", ".join(f"{c} string" for c in ("repo_id", *RAW_COLUMNS[stream]))
-    return spark.createDataFrame([], columns)
-
-
 def stream_paths(
     spark: SparkSession, root: str, stream: str, layout: str = LAYOUT, repo_limit: int | None = None
-) -> dict[str, str]:
-    """Files of a stream in sorted order: path as the sources report it -> path to read. Contents are not read.
+) -> list[str]:
+    """Patterns of a stream's files that match something, in sorted order; contents are not read.
 
-    With ``repo_limit``, those of the first directories only, whether or not these have the stream.
+    Without a limit this is one pattern for all files. With ``repo_limit``, there is one per file of the first
+    directories, whether or not these have the stream.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def listed(pattern: str) -> list:
-        path = jvm.org.apache.hadoop.fs.Path(pattern)
-        return [s.getPath() for s in path.getFileSystem(conf).globStatus(path) or []]
-
     pattern = layout.format(root=root.rstrip("/"), stream=stream)
-    files = listed(pattern)
-    if repo_limit is not None:
-        first = set(sorted(p.getName() for p in listed(pattern.rsplit("/", 1)[0]))[:repo_limit])
-        files = [p for p in files if p.getParent().getName() in first]
-    return dict(sorted((same_path(p.toUri().toString()), p.toString()) for p in files))
-
-
-def first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """First line of every file that can be read and is not empty, found in one distributed job."""
-    if not paths:
-        return {}
-    lines = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(list(paths))
-    first = (
-        lines.select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("order"),
-            "value",
-        )
-        .filter("start = 0")
-        .groupBy("path")
-        .agg(F.min_by("value", "order").alias("line"))
-    )
-    return {same_path(r["path"]): r["line"] for r in first.collect()}
+    if repo_limit is None:
+        return [pattern]
+    folders = [s.getPath().getName() for s in _matching(spark, pattern.rsplit("/", 1)[0])]
+    first = set(sorted(folders)[:repo_limit])
+    found = [s.getPath() for s in _matching(spark, pattern)]
+    return sorted(p.toString() for p in found if p.getParent().getName() in first)
+
 
+def _matching(spark: SparkSession, pattern: str) -> list:
+    """Hadoop's statuses of the paths that match."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
 
-def header_of(line: str, sep: str = ",") -> tuple[str, ...]:
-    return tuple(next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), []))
 
+def empty_files(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """Files of no length, which Spark's sources pass over in silence."""
+    return [s.getPath().toString() for p in patterns for s in _matching(spark, p) if s.isFile() and s.getLen() == 0]
 
-def same_path(path: str) -> str:
-    """One spelling of a local path: sources write ``file:/x`` and ``file:///x``."""
-    return "file:/" + path[5:].lstrip("/") if path.startswith("file:") else path
 
+def file_pieces(spark: SparkSession, patterns: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """(path, start, end) of the pieces that tasks read: whole files, dealt by size, or ranges of plain files.
 
-def _text_rows(spark: SparkSession, paths: Sequence[str], header: Sequence[str], multi_line: bool) -> DataFrame:
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
+    Only names and sizes are listed; no content is read. No matching file gives no piece.
+    """
+    nothing = spark.createDataFrame([], "path string, start bigint, end bigint")
+    if not patterns:
+        return nothing
+    try:
+        listed = spark.read.format("binaryFile").load(list(patterns)).select("path", "length")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return nothing
+    if multi_line:
+        return listed.select("path", F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
+    size = F.lit(PIECE_BYTES).cast("bigint")
+    whole = F.col("path").endswith(".gz") | (F.col("length") <= size)
+    starts = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, size))
+    pieces = listed.select("path", whole.alias("whole"), F.explode(starts).alias("start")).select(
+        "path", "start", F.when(~F.col("whole"), F.col("start") + size).alias("end")
     )
-    # A repeated name gets its place appended, so that the first one keeps the plain name.
-    names = [c if c not in header[:i] else f"{c}_{i}" for i, c in enumerate(header)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    rows = reader.schema(schema).csv(list(paths))
-    return rows.withColumn("_path", F.col("_metadata.file_path"))
+    # a large file's pieces come out of one listing task, so they are dealt again; these rows hold no data
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    return pieces.repartition(max(1, math.ceil(total / PIECE_BYTES)))
 
 
 def scan_text(
     spark: SparkSession, root: str, stream: str, layout: str = LAYOUT, repo_limit: int | None = None, multi_line: bool = True
-) -> tuple[DataFrame, dict[str, str]]:
-    """(repo_id, _path, the stream's columns as text) of all readable files, and the status of every file.
+) -> DataFrame:
+    """(repo_id, _path, _status, the stream's columns as text): the rows of all files, and the status of every piece.
 
-    Files with the same header are read together; a file is read under its own header and no other. Status is ``ok``,
-    ``could not read file`` or ``missing columns: ...``; such a file is left out alone.
+    Every file is read once, by tasks, under its own header. A row with ``_status`` has no data: it says how reading a
+    file or a piece of it ended: ``ok``, ``could not read file``, ``missing columns: ...``, ``damaged after n rows`` or
+    ``last row incomplete``. A file that ended badly is left out from there on, and no other file is.
     """
+    pieces = file_pieces(spark, stream_paths(spark, root, stream, layout, repo_limit), multi_line)
     wanted = RAW_COLUMNS[stream]
-    paths = stream_paths(spark, root, stream, layout, repo_limit)
-    headers = {p: header_of(line) for p, line in first_lines(spark, list(paths.values())).items()}
-    groups: dict[tuple[str, ...], list[str]] = {}
-    status = {}
-    for name, path in paths.items():
-        header = headers.get(name)
-        lacking = [c for c in wanted if c not in (header or ())]
-        if header is None:
-            status[name] = "could not read file"
-        elif lacking:
-            status[name] = "missing columns: " + ", ".join(lacking)
-        else:
-            status[name] = "ok"
-            groups.setdefault(header, []).append(path)
+    schema = ", ".join(f"{c} string" for c in ("_path", "_status", *wanted))
+    rows = pieces.mapInArrow(csv_task(wanted, multi_line=multi_line), schema)
     folder = F.element_at(F.split("_path", "/"), -2)
-    # reported paths are percent-encoded; a plus sign stands for itself
-    folder = F.when(F.contains(folder, F.lit("%")), F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(folder)
-    repo = F.regexp_replace(folder, "^repo_id=", "").alias("repo_id")
-    parts = [_text_rows(spark, p, h, multi_line).select(repo, "_path", *wanted) for h, p in groups.items()]
-    if not parts:
-        return _empty(spark, stream).withColumn("_path", F.lit(None).cast("string")), status
-    return reduce(DataFrame.unionByName, parts), status
+    return rows.select(F.regexp_replace(folder, "^repo_id=", "").alias("repo_id"), "*")
 
 
 def scan_stream(spark: SparkSession, root: str, stream: str, **options) -> DataFrame:
@@ -157,7 +126,7 @@ def scan_stream(spark: SparkSession, root: str, stream: str, **options) -> DataF
     breaks. ``layout`` says where the files are.
     """
     require_utc(spark)
-    return typed_rows(scan_text(spark, root, stream, **options)[0], stream)
+    return typed_rows(scan_text(spark, root, stream, **options).filter("_status IS NULL"), stream)
 
 
 def scan_commits(spark: SparkSession, root: str, **options) -> DataFrame:
@@ -181,21 +150,23 @@ def scan_repository_snapshots(spark: SparkSession, root: str, **options) -> Data
 
 
 def scan_report(spark: SparkSession, root: str, stream: str, **options) -> DataFrame:
-    """(path, status, rows, rejected) of every file of a stream.
+    """(path, status, rows, rejected) of every file of a stream, in one pass over the files.
 
-    ``rejected`` counts times and counts that are given but cannot be read. A file that turns out to be damaged after
-    its header has the rows before the damage.
+    ``rejected`` counts times and counts that are given but cannot be read. A file that turns out to be damaged or cut
+    off after its header says so, and has the rows before the damage.
     """
-    rows, status = scan_text(spark, root, stream, **options)
+    rows = scan_text(spark, root, stream, **options)
+    patterns = stream_paths(spark, root, stream, **{k: v for k, v in options.items() if k != "multi_line"})
+    empty = spark.createDataFrame([(p, UNREADABLE) for p in empty_files(spark, patterns)], "_path string, _status string")
+    rows = rows.unionByName(empty, allowMissingColumns=True)
     checked = [c for c in RAW_COLUMNS[stream] if c in TIMES[stream] or c == COUNTS.get(stream)]
     given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    bad = sum((given(c) & typed_column(stream, c).isNull()).cast("int") for c in checked)
-    clean = F.regexp_replace("_path", "^file:/+", "file:/")
-    counts = rows.groupBy(clean.alias("path")).agg(F.count("*").alias("rows"), F.sum(bad).alias("rejected"))
-    files = spark.createDataFrame(list(status.items()), "path string, status string")
-    zero = F.lit(0).cast("bigint")
-    return files.join(counts, "path", "left").select(
-        "path", "status", F.coalesce("rows", zero).alias("rows"), F.coalesce("rejected", zero).alias("rejected")
+    bad = sum((given(c) & typed_column(stream, c).isNull()).cast("bigint") for c in checked)
+    trouble = F.max(F.when(F.col("_status") != OK, F.col("_status")))
+    return rows.groupBy(F.col("_path").alias("path")).agg(
+        F.coalesce(trouble, F.lit(OK)).alias("status"),
+        F.count_if(F.col("_status").isNull()).alias("rows"),
+        F.sum(F.when(F.col("_status").isNull(), bad).otherwise(0)).alias("rejected"),
     )
 
 

@@ -128,6 +128,45 @@ def test_repo_limit_reads_the_first_directories_only(spark, stargazers):
     assert {r.repo_id for r in raw.scan_streams(spark, stargazers, repo_limit=3)["stargazers"].collect()} == {"r1", "r2"}
 
 
+def test_files_cut_off_after_the_header(spark, tmp_path):
+    whole = "starred_at,user_login\n" + "".join(f"2020-01-0{i % 9 + 1},user{i}\n" for i in range(5000))
+    packed = gzip.compress(whole.encode())
+    texts = {
+        "a": whole.encode(), "b": whole[:-35].encode(), "c": (whole + '2020-01-01,"open\n').encode(),
+        "d": b"starred_at,user_login\n2020-01-01\n2020-01-01,x,y\n\n2020-01-02,\xff\n", "e": b"starred_at,user_login", "f": b"\x00\x01",
+    }
+    for repo, data in texts.items():
+        (tmp_path / repo).mkdir()
+        (tmp_path / repo / "stargazers.csv").write_bytes(data)
+    found = {r.path.split("/")[-2]: (r.status, r.rows) for r in raw.scan_report(spark, str(tmp_path), "stargazers").collect()}
+    assert found["a"] == ("ok", 5000) and found["e"] == ("ok", 0) and found["d"] == ("ok", 3)
+    assert found["b"][0] == "last row incomplete" and found["c"][0] != "ok" and found["f"][0] != "ok"
+    rows = raw.scan_stargazers(spark, str(tmp_path)).filter("repo_id = 'd'").collect()
+    assert sorted(str(r.user_login) for r in rows) == ["None", "x", "\ufffd"]
+    cut = tmp_path / "cut.csv.gz"
+    cut.write_bytes(packed[: len(packed) // 2])
+    inventory = {r.path.rsplit("/", 1)[1]: r.status for r in files.file_inventory(spark, str(tmp_path)).collect()}
+    assert inventory["cut.csv.gz"] != "ok"
+
+
+def test_large_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw, "PIECE_BYTES", 1000)
+    (tmp_path / "r").mkdir()
+    rows = [f"2020-01-01 00:00:{i % 60:02d},user{i}" for i in range(900)]
+    (tmp_path / "r" / "stargazers.csv").write_text("\n".join(["starred_at,user_login", *rows]))
+    pieces = raw.file_pieces(spark, raw.stream_paths(spark, str(tmp_path), "stargazers"), multi_line=False)
+    assert pieces.count() > 20
+    found = raw.scan_stargazers(spark, str(tmp_path), multi_line=False)
+    assert sorted(r.user_login for r in found.collect()) == sorted(f"user{i}" for i in range(900))
+    report = raw.scan_report(spark, str(tmp_path), "stargazers", multi_line=False).collect()
+    assert [(r.status, r.rows) for r in report] == [("ok", 900)]
+
+
+def test_scan_reads_no_file_on_the_driver(spark, stargazers):
+    plan = raw.scan_stargazers(spark, stargazers)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and "content" not in plan and "Exchange" not in plan
+
+
 def test_one_pass_panel_equals_stream_joins(spark):
     one = mapping.panel(spark, SF)
     many = P.panel_from_streams(mapping.streams(spark, SF), mapping.SNAPSHOT_TIE_BREAK)
