@@ -197,16 +197,18 @@ def stream_events(streams: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def quarterly_activity(events: DataFrame, forks: DataFrame | None = None) -> DataFrame:
-    """Every per-stream quarterly metric from one stacked aggregation.
-
-    ``events`` has ``EVENT_COLUMNS``; ``forks`` is the output of ``latest_snapshot``.
-    The first grouping is by actor too, which makes the people counts plain sums
-    in the second and spreads a very active repository over many tasks.
-    """
-    by_actor = events.groupBy("repo_id", period("ts").alias("period"), "kind", "actor").agg(
+def actor_partials(events: DataFrame) -> DataFrame:
+    """(repo_id, period, kind, actor, n, comments): what every event count and people count can be added up from."""
+    return events.groupBy("repo_id", period("ts").alias("period"), "kind", "actor").agg(
         F.count("*").alias("n"), F.sum("comments").alias("comments")
     )
+
+
+def activity_cells(partials: DataFrame) -> DataFrame:
+    """One row per repository and period: every metric, and which streams were seen.
+
+    ``partials`` is the output of :func:`actor_partials`, one row per actor, with ``forks`` on the rows of snapshots.
+    """
     measures = {
         "rows": lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n"))),
         "people": lambda kind: F.count_if((F.col("kind") == kind) & F.col("actor").isNotNull()),
@@ -218,38 +220,60 @@ def quarterly_activity(events: DataFrame, forks: DataFrame | None = None) -> Dat
         F.max(F.when(F.col("kind").isin(*kinds), True)).alias(f"_has_{stream}")
         for stream, kinds in STREAM_KINDS.items()
     ]
-    # The snapshot row joins the second grouping as one more, already aggregated, event.
+    return partials.groupBy("repo_id", "period").agg(*aggregates, F.max("forks").alias("fork_count"), *seen)
+
+
+def with_snapshots(partials: DataFrame, forks: DataFrame | None) -> DataFrame:
+    """A snapshot joins the second grouping as one more, already aggregated, event."""
     if forks is None:
-        by_actor = by_actor.withColumn("forks", F.lit(None).cast("long"))
-    else:
-        snapshot_kind = STREAM_KINDS["repository"][0]
-        by_actor = by_actor.unionByName(
-            forks.select(
-                "repo_id",
-                (F.col("year") * 4 + F.col("quarter") - 1).alias("period"),
-                F.lit(snapshot_kind).cast("tinyint").alias("kind"),
-                F.col("fork_count").alias("forks"),
-            ),
-            allowMissingColumns=True,
-        )
-    cells = by_actor.groupBy("repo_id", "period").agg(*aggregates, F.max("forks").alias("fork_count"), *seen)
-
-    # A stream the repository never had stays NULL; a quiet quarter of one it has is 0.
+        return partials.withColumn("forks", F.lit(None).cast("long"))
+    return partials.unionByName(
+        forks.select(
+            "repo_id",
+            (F.col("year") * 4 + F.col("quarter") - 1).alias("period"),
+            F.lit(STREAM_KINDS["repository"][0]).cast("tinyint").alias("kind"),
+            F.col("fork_count").alias("forks"),
+        ),
+        allowMissingColumns=True,
+    )
+
+
+def finished_cells(cells: DataFrame, per_quarter: bool = False) -> DataFrame:
+    """Cells as panel rows: a stream the repository never had is NULL, a quiet quarter of one it has is 0.
+
+    With ``per_quarter`` a stream is NULL in every quarter in which it has no row, as in a join of the streams.
+    """
     repo = Window.partitionBy("repo_id")
-    present = {stream: F.max(f"_has_{stream}").over(repo) for stream in STREAM_KINDS}
+    seen = {stream: F.col(f"_has_{stream}") for stream in STREAM_KINDS}
+    present = seen if per_quarter else {stream: F.max(flag).over(repo) for stream, flag in seen.items()}
     columns = {name: stream for stream, items in DETAIL.items() for name, _, _ in items}
-    columns["fork_count"] = "repository"
+    filled = {name: F.when(present[stream], F.coalesce(F.col(name), F.lit(0))) for name, stream in columns.items()}
+    forks = F.col("fork_count")
+    # a snapshot without a count is NULL in a join of the streams, and 0 in the panel
+    filled["fork_count"] = forks if per_quarter else F.when(present["repository"], F.coalesce(forks, F.lit(0)))
     return cells.select(
         "repo_id",
         period_year(F.col("period")).alias("year"),
         period_quarter(F.col("period")).alias("quarter"),
-        *[
-            F.when(present[stream], F.coalesce(F.col(name), F.lit(0))).cast("long").alias(name)
-            for name, stream in columns.items()
-        ],
+        *[value.cast("long").alias(name) for name, value in filled.items()],
     )
 
 
+def quarterly_activity(events: DataFrame, forks: DataFrame | None = None) -> DataFrame:
+    """Every per-stream quarterly metric from one stacked aggregation.
+
+    ``events`` has ``EVENT_COLUMNS``; ``forks`` is the output of ``latest_snapshot``.
+    The first grouping is by actor too, which makes the people counts plain sums
+    in the second and spreads a very active repository over many tasks.
+    """
+    return finished_cells(activity_cells(with_snapshots(actor_partials(events), forks)))
+
+
+def streams_side_by_side(events: DataFrame, forks: DataFrame | None = None) -> DataFrame:
+    """What :func:`join_streams` gives for all streams, from the same one aggregation and without a join."""
+    return finished_cells(activity_cells(with_snapshots(actor_partials(events), forks)), per_quarter=True)
+
+
 def total_contributors(df: DataFrame) -> DataFrame:
     """Largest of the people counts, skipping streams the repository lacks."""
     available = [c for c in CONTRIBUTORS if c in df.columns]

@@ -262,17 +262,8 @@ def join_pr_sides(spark, sf_dir):
 @query
 def join_streams(spark, sf_dir):
     """The stream aggregates joined side by side, before any zero is filled in."""
-    issue, pull = M.issues(spark, sf_dir), M.pull_requests(spark, sf_dir)
-    parts = [
-        P.quarterly_commits(M.commits(spark, sf_dir)),
-        P.join_issue_sides(P.quarterly_issues_opened(issue), P.quarterly_issues_closed(issue)),
-        P.join_pr_sides(
-            P.quarterly_prs_opened(pull), P.quarterly_prs_merged(pull), P.quarterly_prs_closed_unmerged(pull)
-        ),
-        P.quarterly_stars(M.stargazers(spark, sf_dir)),
-        P.latest_snapshot(M.snapshots(spark, sf_dir), M.SNAPSHOT_TIE_BREAK),
-    ]
-    return P.join_streams(parts)
+    forks = P.latest_snapshot(M.snapshots(spark, sf_dir), M.SNAPSHOT_TIE_BREAK)
+    return P.streams_side_by_side(M.events(spark, sf_dir), forks)
 
 
 @query

@@ -107,15 +107,20 @@ _DETAIL = {
     "snaps_q": ["fork_count"],
 }
 
-PANEL = (
+# A stream that the repository has in some quarter is 0 in its quiet ones.
+DETAIL = (
     STREAMS
     + ",\ndetail AS (\n  SELECT repo_id, year, quarter, "
     + ",\n    ".join(
-        f"CASE WHEN repo_id IN (SELECT repo_id FROM {source}) THEN coalesce({c}, 0) END AS {c}"
-        for source, columns in _DETAIL.items()
+        f"CASE WHEN bool_or({columns[0]} IS NOT NULL) OVER (PARTITION BY repo_id) THEN coalesce({c}, 0) END AS {c}"
+        for columns in _DETAIL.values()
         for c in columns
     )
-    + "\n  FROM joined),\npanel AS (\n  SELECT repo_id, year, quarter, commit_count, "
+    + "\n  FROM joined)"
+)
+
+PANEL = (
+    DETAIL + ",\npanel AS (\n  SELECT repo_id, year, quarter, commit_count, "
     "greatest(commit_authors, issue_participants, pr_contributors) AS total_contributors, issue_count, issue_closed, "
     "pr_count, pr_merged, star_count, fork_count FROM detail)"
 )
@@ -513,7 +518,7 @@ def oracle_sql() -> dict[str, str]:
         "join_streams": f"{w}{STREAMS} SELECT * FROM joined",
         "union_by_name": f"{w}{STREAMS} SELECT * FROM closed_q UNION ALL BY NAME SELECT * FROM pr_merged_q "
         "UNION ALL BY NAME SELECT * FROM stars_q",
-        "quarterly_activity": f"{w}{PANEL} SELECT * FROM detail",
+        "quarterly_activity": f"{w}{DETAIL} SELECT * FROM detail",
         "scan_commits": f"{w}{STREAMS} SELECT repo_id, epoch_us(author_date) AS author_date, "
         "CAST(author_login AS VARCHAR) AS author_login, comment_count FROM commits WHERE author_date IS NOT NULL",
         "scan_issues": f"{w}{STREAMS} SELECT repo_id, epoch_us(created_at) AS created_at, epoch_us(closed_at) AS closed_at, "

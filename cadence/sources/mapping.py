@@ -27,19 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def line_items(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """What all streams are made of; a part of it, given as ``lines``, is a batch."""
     lines = table(spark, sf_dir, "lineitem").withColumn("repo_id", F.col("l_suppkey").cast("string"))
     return lines if only is None else lines.join(only, "repo_id", "left_semi")
 
 
-def _ordered_lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def _ordered_lines(
+    spark: SparkSession, sf_dir: str, only: DataFrame | None = None, lines: DataFrame | None = None
+) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-    lines = _lines(spark, sf_dir, only)
+    lines = line_items(spark, sf_dir, only) if lines is None else lines
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"], "left")
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select(
+    return line_items(spark, sf_dir).select(
         "repo_id",
         F.col("l_shipdate").alias("author_date"),
         F.col("l_partkey").cast("string").alias("author_login"),
@@ -88,9 +91,11 @@ def stargazers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def snapshots(
+    spark: SparkSession, sf_dir: str, only: DataFrame | None = None, lines: DataFrame | None = None
+) -> DataFrame:
     return (
-        _lines(spark, sf_dir, only)
+        (line_items(spark, sf_dir, only) if lines is None else lines)
         .filter(F.col("l_returnflag") == "R")
         .select(
             "repo_id",
@@ -111,7 +116,9 @@ def streams(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def events(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def events(
+    spark: SparkSession, sf_dir: str, only: DataFrame | None = None, lines: DataFrame | None = None
+) -> DataFrame:
     """The same events as ``stream_events(streams(...))`` with one scan and one join.
 
     Three of the streams need the order's date; joining once and emitting every
@@ -135,7 +142,7 @@ def events(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> D
         )
 
     return P.explode_events(
-        _ordered_lines(spark, sf_dir, only),
+        _ordered_lines(spark, sf_dir, only, lines),
         [
             event(F.lit(COMMIT), shipped, F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long")),
             event(F.when(odd, ISSUE_OPEN).otherwise(PR_OPEN), ordered, customer, number),
