@@ -768,37 +768,7 @@ def best_so_far(spark, sf_dir):
     return R.best_so_far(event_log(spark, sf_dir))
 
 
-# --- learned models -------------------------------------------------------------
-
-
-@query
-def forecast_linear(spark, sf_dir):
-    """Learned forecaster rolled out two quarters, with errors by split and horizon."""
-    panel = indexed(spark, sf_dir)
-    split = SP.temporal_split(Q.build_sequences(panel, EVALUATED))
-    model = FC.fit_linear(split, S.history_stats(panel, EVALUATED))
-    return E.regression_metrics(FC.predictions_by_horizon(split, [model], 2))
-
-
-def _classified(spark, sf_dir, kind, **params):
-    rows = materialize(SP.stratified_split(Q.fill_panel(labeled(spark, sf_dir)), KEYS, "is_active"))
-    classifier = C.ActivityClassifier(kind, **params).fit(rows.filter("split = 'train'"))
-    return classifier.evaluate(rows.filter("split = 'test'"))
-
-
-@query
-def classify_logistic(spark, sf_dir):
-    return _classified(spark, sf_dir, "logistic")
-
-
-@query
-def classify_forest(spark, sf_dir):
-    return _classified(spark, sf_dir, "rf")
-
-
-@query
-def classify_boosted(spark, sf_dir):
-    return _classified(spark, sf_dir, "gbm")
+# --- classifier report ----------------------------------------------------------
 
 
 @query
