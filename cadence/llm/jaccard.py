@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.components import bitmap, components, test_bits
@@ -34,7 +34,9 @@ CANDIDATE_BITS = 1 << 24
 #: Shingles of a block; a document counts as at least BLOCK_SHINGLES / 250, so a block has at most 250 documents.
 BLOCK_SHINGLES = 200_000
 COLUMNS = 4096
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+#: Rows without an id get one of their own from here on, by their text; other ids must be smaller.
+NO_ID = 1 << 62
 #: Arbitrary odd numbers.
 MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64
@@ -42,6 +44,8 @@ MIX = np.array(
 
 
 class WordHashes(dict):
+    """Hashes of words, a bounded number of them. Every task has its own, so nothing stays behind in a worker."""
+
     def __missing__(self, word: bytes) -> int:
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -52,15 +56,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-HASHES = WordHashes()
-
-
-def shingles(text: str | None, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
+def shingles(text: str | None, known: WordHashes, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words than ``width`` make one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = HASHES.of(words)
+    hashes = known.of(words)
     n = max(1, len(words) - width + 1)
     out = np.full(n, len(words) if len(words) < width else 0, np.uint64)
     for i in range(min(width, len(words))):
@@ -80,27 +81,36 @@ def signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
-def _mapped(rows: DataFrame, function, schema: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield from function(batch)
+class Marks:
+    """A set of ids, and by chance a few others, as a bitmap that tasks test where they read the texts."""
 
-    return rows.mapInPandas(run, schema)
+    def __init__(self, ids: DataFrame):
+        place = F.pandas_udf(lambda found: pd.Series(document_position(found.to_numpy())), "bigint")
+        bits = bitmap(ids.toDF("id").select(place("id").alias("pos")), CANDIDATE_BITS)
+        self.data = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def of(self, batch: pd.DataFrame) -> pd.DataFrame:
+        return batch[test_bits(self.data.value, document_position(batch["id"].to_numpy()))]
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
     """(id, n, digest): size and digest of each document's set; no digest for the empty set."""
 
-    def one(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        sets = [shingles(t) for t in batch["text"]]
-        digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        yield pd.DataFrame({"id": batch["id"], "n": list(map(len, sets)), "digest": digests})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            sizes, digests = [], []
+            for text in batch["text"]:
+                found = shingles(text, known)
+                sizes.append(len(found))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+            yield pd.DataFrame({"id": batch["id"], "n": sizes, "digest": digests})
 
-    return materialize(_mapped(docs, one, "id bigint, n bigint, digest binary"), "sets")
+    return materialize(docs.mapInPandas(run, "id bigint, n bigint, digest binary"), "sets")
 
 
-def frequent_bitmaps(docs: DataFrame, blocks: int) -> list[np.ndarray]:
-    """A bitmap per class of frequency: positions of the shingles that so many documents or more have.
+def frequent_bitmaps(docs: DataFrame, marks: Marks, blocks: int) -> list[np.ndarray]:
+    """A bitmap per class of frequency: positions of the shingles that so many marked documents or more have.
 
     A task sends, per block of the hash range, its distinct shingles as packed 32-bit integers and which of them it
     had more than once, so a hot shingle is one entry per task.
@@ -122,10 +132,10 @@ def frequent_bitmaps(docs: DataFrame, blocks: int) -> list[np.ndarray]:
         yield pd.DataFrame(rows, columns=["block", "entries", "often", "times"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size, known = [], 0, WordHashes()
         for batch in batches:
-            for text in batch["text"]:
-                found = shingles(text)
+            for text in marks.of(batch)["text"]:
+                found = shingles(text, known)
                 held.append((found >> np.uint64(64 - SPAN_BITS)).astype(np.int64))
                 size += len(held[-1])
                 if size >= 3_000_000:
@@ -147,7 +157,7 @@ def frequent_bitmaps(docs: DataFrame, blocks: int) -> list[np.ndarray]:
         level = np.repeat(np.arange(len(found)), list(map(len, found)))
         return pd.DataFrame({"level": level, "pos": np.concatenate(found)})
 
-    packed = docs.select("text").mapInPandas(run, "block bigint, entries binary, often binary, times binary")
+    packed = docs.mapInPandas(run, "block bigint, entries binary, often binary, times binary")
     positions = materialize(packed.groupBy("block").applyInPandas(count, "level bigint, pos bigint"), "frequent")
     return [bitmap(positions.filter(F.col("level") == i), bits) for i, (_, bits) in enumerate(FREQUENT)]
 
@@ -178,8 +188,8 @@ def prefix(found: np.ndarray, frequent: list[np.ndarray], percent: int = PERCENT
     return found[first[level[first] > 0]]
 
 
-def candidate_edges(docs: DataFrame, frequent: list[np.ndarray], percent: int) -> DataFrame:
-    """(a, b): each document with the first one of its chain at each of its prefix shingles.
+def candidate_edges(docs: DataFrame, marks: Marks, frequent: list[np.ndarray], percent: int) -> DataFrame:
+    """(a, b): each marked document with the first one of its chain at each of its prefix shingles; written.
 
     The rows of a shingle stream through their task in order of size. A step in size that no link can cross starts a
     new chain. A task skips sets that it has just seen.
@@ -188,10 +198,12 @@ def candidate_edges(docs: DataFrame, frequent: list[np.ndarray], percent: int) -
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
+        known = WordHashes()
         for batch in batches:
             ids, sizes, parts = [], [], []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                found = shingles(text)
+            own = marks.of(batch)
+            for i, text in zip(own["id"], own["text"], strict=True):
+                found = shingles(text, known)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 if len(found) and digest not in seen:
                     if len(seen) > CACHED_WORDS:
@@ -223,7 +235,9 @@ def candidate_edges(docs: DataFrame, frequent: list[np.ndarray], percent: int) -
 
     rows = docs.mapInPandas(emit, "h bigint, n bigint, id bigint")
     ordered = rows.repartition("h").sortWithinPartitions("h", "n", "id")
-    return ordered.mapInPandas(stars, "a bigint, b bigint").distinct()
+    edges = materialize(ordered.mapInPandas(stars, "a bigint, b bigint").distinct(), "candidates")
+    shared.destroy()
+    return edges
 
 
 def link_blocks(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -322,10 +336,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
     ``component_id`` is the smallest doc_id that links reach, ``n_links`` the number of other documents linked with
-    this one. A null or empty text has no shingles and links with nothing. Ids are unique integers and not null; rows
-    that repeat an id count as copies. Other columns are not read; an empty table gives no rows.
+    this one. A null or empty text has no shingles and links with nothing. Ids are integers below 2^62, and an id has
+    one text; rows that repeat both count as copies. Rows without an id link like any other; a component of such rows
+    alone has a number from 2^62 on. Whole texts are read, whatever their length. Other columns are not read; an empty
+    table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    found = _groups(docs, id_col, text_col, percent)
+    return found.select(F.when(F.col("id") < NO_ID, F.col("id")).alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """As :func:`jaccard_groups`, with ``id`` for doc_id, which rows without one have too."""
+    rows = docs.select(_row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     sets = set_rows(rows)
     groups = sets.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("size")
@@ -333,9 +355,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = materialize(groups, "groups")
     total = sets.agg(F.sum("n")).first()[0] or 0
     # Copies would make every shingle of their text look frequent.
-    single = _marked(rows, groups.select("rep"))
-    frequent = frequent_bitmaps(single, int(max(LEAST_BLOCKS, total // 2_000_000)))
-    edges = materialize(candidate_edges(single, frequent, percent), "candidates")
+    single = Marks(groups.select("rep"))
+    frequent = frequent_bitmaps(rows, single, int(max(LEAST_BLOCKS, total // 2_000_000)))
+    edges = candidate_edges(rows, single, frequent, percent)
     to_rep = sets.join(groups, "digest").select("id", "rep")
     mapped = edges.join(to_rep.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a")
     mapped = mapped.join(to_rep.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
@@ -360,41 +382,42 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     result = materialize(result, "result")
     return sets.join(result, F.col("digest") == F.col("group_digest"), "left").select(
-        F.col("id").alias("doc_id"),
+        "id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
         F.coalesce("links", F.lit(0)).alias("n_links"),
     )
 
 
-def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in ``ids``, and by chance a few others."""
-    place = F.pandas_udf(lambda found: pd.Series(document_position(found.to_numpy())), "bigint")
-    marks = bitmap(ids.toDF("id").select(place("id").alias("pos")), CANDIDATE_BITS)
-    shared = rows.sparkSession.sparkContext.broadcast(marks)
-
-    def one(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        yield batch[test_bits(shared.value, document_position(batch["id"].to_numpy()))]
-
-    return _mapped(rows, one, "id bigint, text string")
+def _row_id(id_col: str, text_col: str) -> Column:
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    return F.coalesce(F.col(id_col).cast("bigint"), own)
 
 
 def _member_sets(rows: DataFrame, sized: DataFrame) -> DataFrame:
     """(id, copies, members): the sets of the documents in families. Other texts are dropped before they move."""
+    marks = Marks(sized.select("id"))
 
-    def one(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"id": batch["id"], "members": [shingles(t).tobytes() for t in batch["text"]]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            own = marks.of(batch)
+            yield pd.DataFrame({"id": own["id"], "members": [shingles(t, known).tobytes() for t in own["text"]]})
 
-    found = _mapped(_marked(rows, sized.select("id")), one, "id bigint, members binary")
+    found = rows.mapInPandas(run, "id bigint, members binary")
     return found.join(sized.select("id", "copies"), "id").dropDuplicates(["id"])
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, with all their columns."""
-    found = jaccard_groups(docs, id_col, text_col, percent).filter("component_id = doc_id")
-    keep = found.select(F.col("doc_id").alias("keep_id"))
-    whole = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("id"))
-    return whole.join(keep, F.col("id") == F.col("keep_id"), "left_semi").select("whole.*")
+    """The rows of ``docs`` whose id is the smallest of its group, with all their columns, whatever their names.
+
+    Of rows that repeat an id and a text one stays. Rows without an id count as having the largest ids. Null and empty
+    texts link with nothing, so one row of each such id stays.
+    """
+    found = _groups(docs, id_col, text_col, percent).filter("component_id = id")
+    keep = found.select(F.col("id").alias("keep_id"))
+    whole = docs.select(F.struct("*").alias("whole"), _row_id(id_col, text_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"))
+    return whole.join(keep, F.col("id") == F.col("keep_id"), "left_semi").dropDuplicates(["id", "digest"]).select("whole.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,8 +60,8 @@ def test_bitmaps_hold_every_shared_shingle(spark):
     shared = " ".join(f"s{i}" for i in range(400))
     texts = [shared + " " + " ".join(f"u{k}-{rng.random()}" for _ in range(200)) for k in range(3)]
     docs = documents(spark, texts).selectExpr("doc_id AS id", "text")
-    frequent = J.frequent_bitmaps(docs, J.LEAST_BLOCKS)
-    sets = [J.shingles(t) for t in texts]
+    frequent = J.frequent_bitmaps(docs, J.Marks(docs.select("id")), J.LEAST_BLOCKS)
+    sets = [J.shingles(t, J.WordHashes()) for t in texts]
     both = np.intersect1d(sets[0], sets[1])
     assert len(both) == 396
     own = np.setdiff1d(sets[0], both)
@@ -87,3 +87,18 @@ def test_kept_and_no_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c, _) in brute(by_id(docs)).items() if i == c)
     assert J.jaccard_groups(empty(spark)).count() == 0
+
+
+def test_rows_without_an_id_repeated_rows_and_long_texts(spark):
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(100_000))
+    other = " ".join(f"v{k}" for k in range(60))
+    made = [(5, text), (3, text + " end"), (None, text + " more"), (None, other), (None, other), (None, other + " x"), (7, "a b c"), (7, "a b c"), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "c", 1, "k") for i, t in made], "doc_id bigint, text string, id string, n int, digest string")
+    found = sorted((str(r["doc_id"]), r["component_id"], r["n_links"]) for r in J.jaccard_groups(docs).collect() if r["n_shingles"] > 60)
+    assert [(i, c) for i, c, _ in found] == [("3", 3), ("5", 3), ("None", 3)] and {n for *_, n in found} == {2}
+    kept = J.kept_documents(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted((str(r["doc_id"]), len(r["text"] or "") > 1000) for r in rows) == sorted([("3", True), ("None", False), ("7", False), ("8", False), ("None", False)])
+    assert {r["text"] for r in rows if r["doc_id"] is None} - {None} <= {other, other + " x"}
