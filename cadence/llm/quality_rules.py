@@ -2,8 +2,8 @@
 
 One pass over the texts gives the rule figures and the hashes of each document's distinct normalised lines. Counting
 takes one shuffle of (line key, count) with map-side combining, so a line of a third of all documents is one row per
-task. Only lines whose row count reaches the limit are looked at again, to count distinct texts: copies of a document
-are one document. What is joined back is the short list of lines above the limits.
+task. Only lines whose row count reaches the limit are looked at again, to count distinct documents. What is joined back
+is the short list of lines above the limits.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ FIGURES = (
 
 
 def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, host, rule figures, content digest, line hashes and their words) per row."""
+    """(row, doc_id, host, rule figures, content digest, line hashes and their words) per row; ``row`` once written."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     names = ["doc_id", "host"] + [f.split()[0] for f in FIGURES.split(",")]
 
@@ -89,22 +89,29 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
             made = [(i, h, *document_figures(t or "")) for i, h, t in zip(batch["id"].astype(object), batch["host"], batch["text"], strict=True)]
             yield pd.DataFrame(made, columns=names)
 
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['id']}, host string, {FIGURES}")
+    made = rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['id']}, host string, {FIGURES}")
+    return materialize(made.withColumn("row", F.monotonically_increasing_id()), "figures")
 
 
 def frequent_lines(
-    measured: DataFrame, min_docs: int = LINE_MIN_DOCS, host_share: float = LINE_HOST_SHARE
+    measured: DataFrame, min_docs: int = LINE_MIN_DOCS, host_share: float = LINE_HOST_SHARE, count: str = "documents"
 ) -> DataFrame:
-    """(line,): keys of host and line hash that more distinct documents of the host have than the limits allow."""
+    """(line,): keys of host and line hash that more distinct documents of the host have than the limits allow.
+
+    With ``count="texts"`` copies of a text are one document.
+    """
+    if count not in ("documents", "texts"):
+        raise ValueError(f"count documents or texts, not {count!r}")
     key = F.xxhash64("host", "hash").alias("line")
-    hosts = measured.groupBy("host").agg(F.countDistinct("content").alias("docs"))
+    one = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "row")) if count == "documents" else F.col("content")
+    hosts = measured.groupBy("host").agg(F.countDistinct(one).alias("docs"))
     limits = hosts.select("host", F.greatest(F.lit(min_docs), F.floor(F.col("docs") * host_share)).alias("limit"))
-    exploded = measured.select("host", "content", F.explode("line_hashes").alias("hash"))
-    # rows are at least as many as distinct texts, so this loses no line above its limit
+    exploded = measured.select("host", one.alias("one"), F.explode("line_hashes").alias("hash"))
+    # rows are at least as many as documents, so this loses no line above its limit
     suspects = exploded.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > min_docs).select("line")
     suspects = materialize(suspects, "suspects")
-    texts = exploded.select("host", "content", key).join(suspects, "line", "left_semi").distinct()
-    counted = texts.groupBy("line", "host").agg(F.count("*").alias("docs"))
+    holders = exploded.select("host", "one", key).join(suspects, "line", "left_semi").distinct()
+    counted = holders.groupBy("line", "host").agg(F.count("*").alias("docs"))
     above = counted.join(limits, counted["host"].eqNullSafe(limits["host"])).filter("docs > limit")
     return materialize(above.select("line"), "frequent")
 
@@ -117,23 +124,25 @@ def quality_rules(
     min_docs: int = LINE_MIN_DOCS,
     host_share: float = LINE_HOST_SHARE,
     max_removed: float = MAX_REMOVED_SHARE,
+    count: str = "documents",
 ) -> DataFrame:
     """Per row: doc_id, the rule figures, base_failed, n_removed_words, kept and line_hashes of the removed lines.
 
     Words are separated by ASCII white space. ``base_failed``: under 50 words, or over half of them in windows of
     three words that occur twice or more. Lines above the limits are removed; a document that loses more than
     ``max_removed`` of its words is rejected, as is one that fails a base rule. A null text is empty and fails; a
-    null host is a host of its own. doc_ids must be unique; rows that repeat one get the sum of their removed words.
-    Other columns are not read; an empty table gives no rows.
+    null host is a host of its own. ``count`` says what the limits count: documents, told apart by doc_id, where a row
+    without one is a document by itself, or texts, where copies are one. Every row is judged by itself, repeated ones
+    too. Whole texts are read, whatever their length; other columns are not; an empty table gives no rows.
     """
-    measured = materialize(figures(docs, id_col, text_col, host_col), "figures")
-    frequent = frequent_lines(measured, min_docs, host_share)
-    lines = measured.select("doc_id", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x"))
-    lines = lines.select("doc_id", F.col("x.line_hashes").alias("hash"), F.col("x.line_words").alias("words"), F.xxhash64("host", "x.line_hashes").alias("line"))
-    removed = lines.join(frequent, "line").groupBy("doc_id").agg(
+    measured = figures(docs, id_col, text_col, host_col)
+    frequent = frequent_lines(measured, min_docs, host_share, count)
+    lines = measured.select("row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x"))
+    lines = lines.select("row", F.col("x.line_hashes").alias("hash"), F.col("x.line_words").alias("words"), F.xxhash64("host", "x.line_hashes").alias("line"))
+    removed = lines.join(frequent, "line").groupBy("row").agg(
         F.sum("words").alias("n_removed_words"), F.collect_set("hash").alias("removed_lines")
     )
-    joined = measured.join(removed.withColumnRenamed("doc_id", "removed_id"), F.col("doc_id").eqNullSafe(F.col("removed_id")), "left")
+    joined = measured.join(removed, "row", "left")
     lost = F.coalesce("n_removed_words", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return joined.select(
@@ -145,7 +154,11 @@ def quality_rules(
 
 
 def without_lines(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) of the kept documents without their removed lines. Null texts are never kept."""
+    """(doc_id, text) of the kept documents without their removed lines. Null texts are never kept.
+
+    doc_ids must say which verdict belongs to which row: rows that repeat one must have the same text.
+    """
+
     def strip(text: str, gone: set[int]) -> str:
         lines = text.split("\n")
         key = lambda line: xxhash.xxh64_intdigest(normalise_line(line.encode())) - 2**63
@@ -156,7 +169,7 @@ def without_lines(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", tex
             texts = [strip(t or "", set(g)) if len(g) else t for t, g in zip(b["text"], b["gone"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts})
 
-    kept = ruled.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("removed_lines").alias("gone"))
+    kept = ruled.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("removed_lines").alias("gone")).distinct()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id", "text", "gone")
     return joined.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")

@@ -49,7 +49,7 @@ def test_lines_that_many_documents_of_a_host_share(spark):
     copied = body(60)
     rows += [(i, copied, "a") for i in range(10, 30)]  # copies are one document
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    ruled = R.quality_rules(docs, min_docs=5, host_share=0.0)
+    ruled = R.quality_rules(docs, min_docs=5, host_share=0.0, count="texts")
     got = {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in ruled.collect()}
     assert all(got[i] == (5, True) for i in range(6)) and got[6] == (150, False)
     assert got[7] == got[8] == (0, True) and all(got[i] == (0, True) for i in range(10, 30))
@@ -58,6 +58,78 @@ def test_lines_that_many_documents_of_a_host_share(spark):
     assert all((notice.lower() in t.lower()) == (i in (7, 8)) for i, t in clean.items())
 
 
+def test_documents_count_and_rows_are_judged_by_themselves(spark):
+    line = " ".join(f"s{k}" for k in range(40))
+    own = lambda i: " ".join(f"d{i}_{k}" for k in range(70))
+    rows = [(i, f"{own(i)}\n{line}", "h", 1, "x") for i in range(30)]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id bigint, text string, source string, row int, host string")
+    ruled = R.quality_rules(docs, min_docs=20, host_share=0.0).collect()
+    assert len(ruled) == 50 and {(r["n_removed_words"], r["kept"]) for r in ruled} == {(40, True)}
+    same = spark.createDataFrame([(i, own(0), "h") for i in range(60)] + [(None, own(0), "h")], "doc_id bigint, text string, source string")
+    assert {r["kept"] for r in R.quality_rules(same, min_docs=20, host_share=0.0).collect()} == {False}
+    assert {r["kept"] for r in R.quality_rules(same, min_docs=20, host_share=0.0, count="texts").collect()} == {True}
+    # thirty rows of one document are one document
+    one = spark.createDataFrame([(1, own(0), "h")] * 30 + [(None, own(0), "h")] * 3, "doc_id bigint, text string, source string")
+    assert {r["kept"] for r in R.quality_rules(one, min_docs=20, host_share=0.0).collect()} == {True}
+    big = spark.createDataFrame([(1, "word " * 10 + "\n" + own(1) * 3000, None)], "doc_id bigint, text string, source string")
+    assert R.quality_rules(big).first()["n_words"] == 10 + 70 * 3000 - 2999
+
+
+def em_one_by_one(patterns, counts, rounds=100):
+    """The same expectation maximisation with plain loops over patterns, labellers and votes."""
+    post = [(1 + sum(v == 1 for v in p)) / (2 + sum(v != 0 for v in p)) for p in patterns]
+    for _ in range(rounds):
+        table = [[[1.0] * 3 for _ in patterns[0]] for _ in range(2)]
+        for p, n, q in zip(patterns, counts, post, strict=True):
+            for j, v in enumerate(p):
+                table[0][j][v + 1] += (1 - q) * n
+                table[1][j][v + 1] += q * n
+        table = [[[x / sum(cell) for x in cell] for cell in row] for row in table]
+        prior = (sum(q * n for q, n in zip(post, counts, strict=True)) + 1) / (sum(counts) + 2)
+        new = []
+        for p in patterns:
+            good, bad = prior, 1 - prior
+            for j, v in enumerate(p):
+                good, bad = good * table[1][j][v + 1], bad * table[0][j][v + 1]
+            new.append(good / (good + bad))
+        moved, post = max(abs(a - b) for a, b in zip(new, post, strict=True)), new
+        if moved < 1e-9:
+            break
+    return post
+
+
+def test_posteriors_and_scores_one_by_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = by_id(docs)
+    votes = {i: C.votes(t or "", C.Words()) for i, t in texts.items()}
+    found = {r["doc_id"]: r["votes"] for r in C.labeller_votes(docs).collect()}
+    assert found == {i: "".join("bng"[x + 1] for x in v) for i, v in votes.items()}
+    patterns, counts = zip(*sorted(Counter(map(tuple, votes.values())).items()), strict=True)
+    model = C.fit(docs)
+    want = em_one_by_one(patterns, counts)
+    for p, q in zip(patterns, want, strict=True):
+        assert abs(model.posteriors["".join("bng"[x + 1] for x in p)] - q) < 1e-6
+    scores = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
+    for i, t in texts.items():
+        odds = model.bias + sum(w * x for w, x in zip(model.weights, C.features(t or "", C.Words()), strict=True))
+        assert abs(scores[i] - 1 / (1 + np.exp(-odds))) < 1e-9
+    # the scorer is near where the weighted, penalised logistic loss is flat, after its bounded number of steps
+    post = dict(zip(patterns, want, strict=True))
+    x = np.array([C.features(t or "", C.Words()) for t in texts.values()])
+    q = np.array([post[tuple(votes[i])] for i in texts])
+    p = np.array([scores[i] for i in texts])
+    weight = np.abs(2 * q - 1)
+    gradient = ((p - (q >= 0.5)) * weight) @ x / weight.sum() + 1e-4 * model.weights
+    at_start = ((0.5 - (q >= 0.5)) * weight) @ x / weight.sum()
+    assert np.abs(gradient).max() < 0.02 * np.abs(at_start).max()
+
+
+def test_sample_is_bounded_at_any_size():
+    for total in (20_000, 5 * 10**10, 10**15):
+        share = C.sample_bound(C.TRAINING_ROWS, total) / C.HASH_RANGE
+        assert abs(share * total - C.TRAINING_ROWS) < 1
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.7
