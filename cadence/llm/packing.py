@@ -10,6 +10,9 @@ Every task packs what it reads, as a stream with bounded buffers: no shuffle, no
 
 from __future__ import annotations
 
+import gc
+import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,33 +31,83 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group; tokens that a task holds back to choose from; words that a worker remembers.
 STEP_TOKENS = 65_536
 BUFFER_TOKENS = 2_000_000
-CACHED_WORDS = 900_000
+CACHED_WORDS = 250_000
 BLOCK_CHARS = 1_000_000
+#: Letters that no rule of the vocabulary takes apart or changes but for their case, and what may end a word of them.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+ENDINGS = b".,;:!?"
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Tokenizer:
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, one call per new word.
+    """Ids by the tokenizers library, one call per new word; what it remembers is bounded and goes with it.
 
     The vocabulary's rules drop white space and never join across it, so a text's ids are those of its words in turn.
-    Only ASCII white space is cut at; whatever else there is stays inside a word, for the library to treat.
+    Only ASCII white space is cut at; whatever else there is stays inside a word, for the library to treat. A word of
+    letters alone goes straight to the library's model, in lower case and as the bytes that the rules would make of it.
     """
 
     def __init__(self, path: str = VOCABULARY):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = tokenizer(path)
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.tokenize = self.library.model.tokenize
+        letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        self.as_bytes = str.maketrans({c: self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+
+    def _whole(self, words: list[bytes]) -> None:
+        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        for word, encoding in zip(words, found, strict=True):
+            self.known[word] = array("I", encoding.ids).tobytes()
+
+    def _letters(self, core: str) -> bytes:
+        """Ids of a word of plain letters in lower case."""
+        ids = self.cores.get(core)
+        if ids is None:
+            if len(self.cores) >= CACHED_WORDS:
+                self.cores.clear()
+            made = self.tokenize(core if core.isascii() else core.translate(self.as_bytes))
+            ids = self.cores[core] = array("I", [t.id for t in made]).tobytes()
+        return ids
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of new words."""
+        odd = []
+        for word in words:
+            body = word.rstrip(ENDINGS)
+            core = body.decode()
+            if not (body.isalpha() or PLAIN.fullmatch(core)):
+                odd.append(word)
+                continue
+            ids = self._letters(core.lower())
+            if len(body) < len(word):
+                end = word[len(body) :]
+                if end not in self.known:
+                    self._whole([end])
+                ids += self.known[end]
+            self.known[word] = ids
+        self._whole(odd)
 
     def block(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        split = [t.encode().split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        found = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for word, encoding in zip(new, found, strict=True):
-            self.known[word] = np.array(encoding.ids, "<u4").tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small objects and no cycles among them
+        try:
+            split = [t.encode().split() for t in texts]
+            self.learn([w for w in {w for words in split for w in words} if w not in self.known])
+            known = self.known.__getitem__
+            return [b"".join(map(known, words)) for words in split]
+        finally:
+            if collecting:
+                gc.enable()
 
     def encode(self, rows: Iterator[tuple]) -> Iterator[tuple]:
         """(id, ids as bytes) of (id, text)."""
@@ -72,11 +125,6 @@ class WordEncoder:
             yield key, ids
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 class Packer:
     """Pieces are (doc_id, start, ids, doc_tokens); sequences come out as lists of pieces with their window length."""
 
@@ -187,7 +235,7 @@ def pack(
             return out
 
         texts = ((key, text) for b in batches for key, text in zip(b["id"].astype(object), b["text"], strict=True))
-        for key, ids in encoder(path).encode(texts):
+        for key, ids in WordEncoder(path).encode(texts):
             put(packer.add(None if pd.isna(key) else key, np.frombuffer(ids + end, "<u4")))
             if packer.held >= BUFFER_TOKENS:
                 put(packer.pack())
