@@ -79,12 +79,26 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES)
     planned.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
+def pinned_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application in which files are always cut and dealt alike.
+
+    How Spark plans splits follows from settings that may change between two reads, and from the number of cores at that
+    moment. Here both are fixed at their present values, for as long as tables read by this session are used.
+    """
+    pinned = spark.newSession()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.session.timeZone"):
+        pinned.conf.set(name, spark.conf.get(name))
+    cores = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism
+    pinned.conf.set("spark.sql.files.minPartitionNum", str(cores))
+    return pinned
+
+
+def chunks(pinned: SparkSession, path: str) -> DataFrame:
     """(file, split, order, chunk): the archives cut at every magic string, in parallel and across split borders.
 
-    Two reads of the same files in one session cut and number them alike.
+    Two reads of the same files by one :func:`pinned_session` cut and number them alike.
     """
-    return spark.read.option("lineSep", MAGIC).text(path).select(
+    return pinned.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("order"),
@@ -92,24 +106,26 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def candidates(spark: SparkSession, source: DataFrame) -> DataFrame:
     """(file, split, order, at, size, head, length, next): each magic string, and where its record would end.
 
     Byte offsets follow from the lengths of the chunks before: inside a split by a running sum, across the splits of
     a file by their totals. ``head`` is the length of the header, ``length`` that of the block, ``size`` that of the
-    chunk up to the next magic string.
+    chunk up to the next magic string. ``source`` is the output of :func:`chunks`.
     """
     text = F.col("chunk").cast("string")
     head_end = F.instr(text, END)
     head = F.substring(text, F.lit(1), head_end + 3)
     length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
-    rows = chunks(spark, path).select(
+    rows = source.select(
         "file", "split", "order",
         F.octet_length("chunk").cast("bigint").alias("size"),
         F.when(head_end > 0, F.octet_length(head)).cast("bigint").alias("head"),
         F.when(length != "", length.cast("bigint")).alias("length"),
     )
-    rows = materialize(rows, "chunks")
+    written = work_path(spark, "chunks")
+    rows.write.parquet(written)
+    rows = spark.read.schema(rows.schema).parquet(written)  # by the caller's session from here on
     step = F.lit(len(MAGIC))
     totals = rows.groupBy("file", "split").agg(F.sum(F.col("size") + step).alias("bytes"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -181,21 +197,37 @@ def read_warc(spark: SparkSession, path: str, project=lambda header, block: [hea
     ``project(header, block)`` gives the columns to return from the header (text) and block (binary); it is applied
     before any shuffle, so blocks move only if they are asked for. A record whose payload holds the magic is put
     together from its chunks first. Records that the chain of their file does not reach are left out: what follows
-    a damaged or cut record, and that record.
+    a damaged or cut record, and that record. The result is written, and the job fails if it does not have every record
+    of the chains that is whole. Blocks of any length come back whole; a task holds one. No archive, or archives without
+    records, give no rows.
     """
-    links = materialize(candidates(spark, path), "links")
+    source = chunks(pinned_session(spark), path)
+    links = materialize(candidates(spark, source), "links")
     owned = materialize(_owned(links, reachable(links)), "owned")
+    records = materialize(_records(source, owned, project), "warc-records")
+    available = owned.groupBy("file", "owner").agg(
+        (F.sum(F.col("size") + len(MAGIC)) - len(MAGIC)).alias("bytes"),
+        F.max(F.when(F.col("real"), F.col("head") + F.col("length"))).alias("wanted"),
+    )
+    whole, found = available.filter("wanted <= bytes").count(), records.count()
+    if whole != found:
+        raise RuntimeError(f"{found} of {whole} records came back from {path}: the archives changed while they were read")
+    return records
+
+
+def _records(source: DataFrame, owned: DataFrame, project) -> DataFrame:
     # written apart: its size is then known to the planner, and the archives are not shuffled for a few long records
     complete = F.col("real") & (F.col("head") + F.col("length") <= F.col("size"))
     keys = ["file", "split", "order"]
-    source = chunks(spark, path)
     text = F.col("chunk").cast("string")
     inline = source.withColumn("head", F.octet_length(F.substring(text, F.lit(1), F.instr(text, END) + 3)))
     length = F.regexp_extract(F.substring(text, F.lit(1), F.instr(text, END) + 3), r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
     inline = inline.withColumn("length", F.when(length != "", length.cast("bigint"))).withColumn("at", F.lit(None).cast("bigint"))
     whole = inline.select("split", "order", *_cut(F.col("chunk"), project)).drop("at")
-    whole = whole.join(owned.filter(complete).select(*keys, "at"), keys).drop("split", "order")
-    parts = source.join(materialize(owned.filter(~complete), "cut"), keys).groupBy("file", F.col("owner").alias("at")).agg(
+    # the caller's session plans the joins, so its tables stand on the left
+    names = [c for c in whole.columns if c not in keys]
+    whole = owned.filter(complete).select(*keys, "at").join(whole, keys).select("file", "at", *names)
+    parts = materialize(owned.filter(~complete), "cut").join(source, keys).groupBy("file", F.col("owner").alias("at")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("at").alias("place"), "chunk"))).alias("parts"),
         F.max(F.when(F.col("real"), F.col("head"))).alias("head"),
         F.max(F.when(F.col("real"), F.col("length"))).alias("length"),
@@ -230,7 +262,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit has no payload of its own: its size is that of the response it refers to, its digest the one named.
     """
-    rows = materialize(read_warc(spark, path, _page_fields), "records")
+    rows = read_warc(spark, path, _page_fields)
     responses = rows.filter("record_type = 'response'")
     revisits = rows.filter("record_type = 'revisit'")
     wanted = revisits.select(F.col("refers_to").alias("response_id")).distinct()

@@ -47,6 +47,35 @@ def test_round_trip_across_split_borders(spark, tmp_path, split):
     assert {r["page_id"]: tuple(r)[1:] for r in found} == want(rows)
 
 
+def test_settings_may_change_between_the_reads(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "warc")
+    W.write_warc(spark.createDataFrame([(i, "u", f"page {i} " * 20, "", 0) for i in range(3000)], SCHEMA).repartition(3), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n, None) for n in names]
+    own = W.reachable
+
+    def changed(links):
+        for name, value in zip(names, ("5000b", "50", "1"), strict=True):
+            spark.conf.set(name, value)
+        return own(links)
+
+    monkeypatch.setattr(W, "reachable", changed)
+    try:
+        found = W.page_records(spark, path).collect()
+    finally:
+        for name, value in zip(names, old, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert sorted(r["page_id"] for r in found) == list(range(3000))
+
+
+def test_long_payloads_with_the_magic_inside(spark, tmp_path):
+    inner = W.VERSION + "\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "u", (inner + "x" * 5000) * 300, "", 0), (2, "u", "y" * 3_000_000, "", 0), (3, "u", None, "", 0)]
+    path = str(tmp_path / "warc")
+    W.write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    assert {r["page_id"]: tuple(r)[1:] for r in W.page_records(spark, path).collect()} == want(rows)
+
+
 def test_blocks_come_back_whole(spark, tmp_path):
     path = str(tmp_path / "warc")
     W.write_warc(spark.createDataFrame(pages()[5:8], SCHEMA).coalesce(1), path)
