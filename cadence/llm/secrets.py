@@ -37,11 +37,12 @@ CLASSES = (
     CharClass("entropy_hex", string.digits + "abcdefABCDEF", 3.2),
     CharClass("entropy_base64", string.ascii_letters + string.digits + "+/=_-", 4.0),
 )
-#: A candidate that matches one of these as a whole is no secret.
+#: A candidate that matches one of these as a whole is no secret. Repeated groups are possessive: what follows them can
+#: take nothing back, and the matcher then loops instead of calling itself once per repetition.
 ALLOW = (
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
-    r"[A-Za-z]?[a-z]+([-_/=+][A-Za-z]?[a-z]+)*[-_/=+]*",  # words, also hyphenated, and paths of words
-    r"[A-Z]+([-_/=+][A-Z]+)*",
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
+    r"[A-Za-z]?[a-z]+(?:[-_/=+][A-Za-z]?[a-z]+)*+[-_/=+]*",  # words, also hyphenated, and paths of words
+    r"[A-Z]+(?:[-_/=+][A-Z]+)*+",
     r"[-_/=+]+|[0-9]+",
     r".*EXAMPLE.*",
 )
@@ -89,46 +90,79 @@ def _weights(window: int) -> list[int]:
     return [round(c * math.log2(c) * 2**20) if c else 0 for c in range(window + 2)]
 
 
+#: Counts of a window take so many bits each, and a 64-bit integer holds so many of them.
+COUNT_BITS = 6
+COUNTS = 10
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is mentioned."""
+    return F.transform(F.array(value), use)[0]
+
+
 def entropy_spans(hit: Column, kind: CharClass) -> Column:
     """(start, end) of the merged windows of a candidate whose entropy reaches the limit.
 
-    A window slides over the candidate. The count of each character goes up as it enters and down as it leaves, and
-    the sum of c * log2(c) follows by the two steps; entropy is log2(window) less that sum over the window.
+    A window slides over the candidate's characters, which are numbered once. The count of a character goes up as it
+    enters and down as it leaves, and the sum of c * log2(c) follows by the two steps; entropy is log2(window) less that
+    sum over the window. Counts are packed into a few integers, of which a step changes one. Blocks of windows slide by
+    themselves, each beginning one window early, so that the work is linear in the length.
     """
-    weights = F.array(*[F.lit(w) for w in _weights(kind.window)])
-    limit = math.floor(kind.window * (math.log2(kind.window) - kind.bits) * 2**20 + 1e-6)
-    letter = lambda i: F.instr(F.lit(kind.alphabet), F.substring(hit, i, F.lit(1)))
-    counts = F.array_repeat(F.lit(0), len(kind.alphabet))
-    spans = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(counts.alias("counts"), F.lit(0).alias("sum"), spans.alias("spans"))
-
-    def changed(state: Column, at: Column, by: int) -> Column:
-        before = F.element_at(state["counts"], at)
-        step = F.element_at(weights, before + 1 + by) - F.element_at(weights, before + 1)
-        counts = F.transform(state["counts"], lambda c, i: F.when(i == at - 1, c + by).otherwise(c))
-        return F.struct(counts.alias("counts"), (state["sum"] + step).alias("sum"), state["spans"].alias("spans"))
-
-    def slide(state: Column, i: Column) -> Column:
-        left = F.when(i > kind.window, changed(state, letter(i - kind.window), -1)).otherwise(state)
-        return changed(left, letter(i), 1)
-
-    def flagged(state: Column, i: Column) -> Column:
-        moved = slide(state, i)
-        span = F.struct((i - kind.window).cast("bigint").alias("start"), i.cast("bigint").alias("end"))
-        last = F.element_at(moved["spans"], -1)
-        longer = F.concat(
-            F.slice(moved["spans"], 1, F.size(moved["spans"]) - 1),
-            F.array(F.struct(last["start"].alias("start"), span["end"].alias("end"))),
+    window = kind.window
+    if window >= 1 << COUNT_BITS:
+        raise ValueError(f"windows of {1 << COUNT_BITS} or more characters do not fit the counts")
+    weights = F.array(*[F.lit(w) for w in _weights(window)])
+    limit = math.floor(window * (math.log2(window) - kind.bits) * 2**20 + 1e-6)
+    words = (len(kind.alphabet) + COUNTS - 1) // COUNTS
+    zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<int>")
+
+    def moved(state: Column, code: Column, by: int) -> Column:
+        """The state after a character has entered or left."""
+        counts, place, shift = state["counts"], (code / COUNTS).cast("int"), (code % COUNTS * COUNT_BITS).cast("int")
+        unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), shift)
+        count = F.call_function("shiftright", F.element_at(counts, place + 1), shift).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+        return _let(
+            count.cast("int"),
+            lambda c: F.struct(
+                F.transform(counts, lambda packed, k: F.when(k == place, packed + by * unit).otherwise(packed)).alias("counts"),
+                (state["sum"] + F.element_at(weights, c + 1 + by) - F.element_at(weights, c + 1)).alias("sum"),
+                state["found"].alias("found"),
+            ),
         )
-        joins = (F.size(moved["spans"]) > 0) & (F.try_element_at(moved["spans"], F.lit(-1))["end"] >= span["start"])
-        spans = F.when(joins, longer).otherwise(F.concat(moved["spans"], F.array(span)))
-        hit_now = (i >= kind.window) & (moved["sum"] <= limit)
-        return F.struct(
-            moved["counts"].alias("counts"), moved["sum"].alias("sum"),
-            F.when(hit_now, spans).otherwise(moved["spans"]).alias("spans"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(hit)), start, flagged)["spans"]
+
+    def block_windows(codes: Column, block: Column) -> Column:
+        """Ends of the flagged windows that end in a block."""
+        first = block * BLOCK + 1
+        last = F.least(first + BLOCK - 1, F.size(codes))
+        begin = F.greatest(first - window + 1, F.lit(1))
+
+        def step(state: Column, i: Column) -> Column:
+            left = F.when(i - begin >= window, moved(state, F.element_at(codes, i - window), -1)).otherwise(state)
+            return _let(left, lambda s: _let(moved(s, F.element_at(codes, i), 1), lambda now: _noted(now, i)))
+
+        def _noted(now: Column, i: Column) -> Column:
+            flagged = (i >= first) & (i >= window) & (now["sum"] <= limit)
+            found = F.when(flagged, F.concat(now["found"], F.array(i))).otherwise(now["found"])
+            return F.struct(now["counts"].alias("counts"), now["sum"].alias("sum"), found.alias("found"))
+
+        start = F.struct(F.array_repeat(zero, words).alias("counts"), F.lit(0).alias("sum"), none.alias("found"))
+        return F.aggregate(F.sequence(begin, last), start, step)["found"]
+
+    def all_windows(codes: Column) -> Column:
+        blocks = F.sequence(F.lit(0), ((F.size(codes) - 1) / BLOCK).cast("int"))
+        return F.flatten(F.transform(blocks, lambda b: block_windows(codes, b)))
+
+    def merged(ends: Column) -> Column:
+        """Windows that overlap or touch as one: its first has none near before it, its last none near after it."""
+        opens = F.filter(ends, lambda e, k: (k == 0) | (F.get(ends, k - 1) < e - window))
+        closes = F.filter(ends, lambda e, k: (k == F.size(ends) - 1) | (F.get(ends, k + 1) > e + window))
+        return F.zip_with(
+            opens, closes, lambda a, b: F.struct((a - window).cast("bigint").alias("start"), b.cast("bigint").alias("end"))
+        )
+
+    codes = F.transform(F.slice(F.split(hit, ""), 1, F.length(hit)), lambda c: F.instr(F.lit(kind.alphabet), c) - 1)
+    return _let(codes, lambda numbered: _let(all_windows(numbered), merged))
 
 
 def _labelled(spans: Column, kind: str, order: int) -> Column:

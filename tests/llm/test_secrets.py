@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import random
 import re
+import time
+from collections import Counter
 
 from corpus import by_id, documents, empty
 from pyspark.sql import functions as F
@@ -87,6 +90,34 @@ def test_redaction(spark):
     assert S.redacted(empty(spark)).count() == 0 and S.scan(empty(spark)).count() == 0
 
 
+def test_very_long_candidates(spark):
+    rng = random.Random(4)
+    letters = S.CLASSES[1].alphabet
+    noise = "".join(rng.choice(letters) for _ in range(300_000))
+    texts = ["abcde/" * 160_000, noise, "Ab-" * 300_000 + "é " + "word_" * 100_000 + "9", "0123456789abcdef" * 20_000 + " " + "a" * 500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    start = time.time()
+    found = {r["doc_id"]: r["spans"] for r in S.scan(docs).select("row.doc_id", S._joined(F.col("found")).alias("spans")).collect()}
+    assert time.time() - start < 120
+    assert "entropy" not in found[0] and found[3].startswith("hex:0:320000,entropy_hex:0:320000")
+    assert [s for s in found[1].split(",") if s.startswith("entropy_base64")] == list(noise_spans(noise, S.CLASSES[1]))
+
+
+def noise_spans(text, kind):
+    """Merged windows by counts kept in a dictionary."""
+    counts, spans = Counter(), []
+    for i, c in enumerate(text):
+        counts[c] += 1
+        if i >= kind.window:
+            counts[text[i - kind.window]] -= 1
+        if i >= kind.window - 1:
+            bits = -sum(n / kind.window * math.log2(n / kind.window) for n in counts.values() if n)
+            if bits >= kind.bits - 1e-5:
+                at = (i + 1 - kind.window, i + 1)
+                spans = spans[:-1] + [(spans[-1][0], at[1])] if spans and spans[-1][1] >= at[0] else [*spans, at]
+    return (f"{kind.name}:{a}:{b}" for a, b in spans)
+
+
 def test_no_python_and_no_shuffle(spark):
     plan = S.scan(documents(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
