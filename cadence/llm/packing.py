@@ -14,7 +14,7 @@ import gc
 import re
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -77,16 +77,18 @@ class WordEncoder:
             ids = self.cores[core] = array("I", [t.id for t in made]).tobytes()
         return ids
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: Iterable[bytes]) -> None:
         """Ids of new words."""
         odd = []
         for word in words:
             body = word.rstrip(ENDINGS)
-            core = body.decode()
-            if not (body.isalpha() or PLAIN.fullmatch(core)):
-                odd.append(word)
-                continue
-            ids = self._letters(core.lower())
+            core = body.lower().decode()
+            if not body.isalpha():
+                if not PLAIN.fullmatch(core):
+                    odd.append(word)
+                    continue
+                core = core.lower()
+            ids = self._letters(core)
             if len(body) < len(word):
                 end = word[len(body) :]
                 if end not in self.known:
@@ -102,7 +104,7 @@ class WordEncoder:
         gc.disable()  # millions of small objects and no cycles among them
         try:
             split = [t.encode().split() for t in texts]
-            self.learn([w for w in {w for words in split for w in words} if w not in self.known])
+            self.learn(set().union(*split).difference(self.known))
             known = self.known.__getitem__
             return [b"".join(map(known, words)) for words in split]
         finally:
