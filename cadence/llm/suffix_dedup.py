@@ -6,6 +6,7 @@ equal ones. Equal windows have equal anchors, and neighbouring windows mostly sh
 segments: an anchor with all windows that name it. Reducers count anchors and build a bitmap of fixed size of those
 that occur twice; other windows cannot repeat. The segments of a repeated anchor are reduced to distinct ones, cut to
 what another one has as well, and sorted by :mod:`cadence.llm.suffixes`: windows that stand next to an equal one repeat.
+An anchor with very many distinct segments is split by the text beside it until its parts are small (:func:`split`).
 
 Documents that are equal as a whole are found by digest; one of them is enough to stand for all.
 """
@@ -14,10 +15,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm.components import bitmap, test_bits
@@ -31,6 +33,8 @@ DOCUMENT_BITS = 1 << 24
 #: Windows handled at once: bounds memory for long texts.
 SLICE = 1 << 18
 PLACE_BITS = 20
+#: Distinct segments that are sorted together; an anchor with more is split, none is left out.
+GROUP = 500
 SEEN_TEXTS = 200_000
 #: Arbitrary odd numbers.
 BASE, MIX = 0xD6E8FEB86659FD93, np.uint64(0x9E3779B97F4A7C15)
@@ -118,13 +122,11 @@ def repeated_anchors(rows: DataFrame, blocks: int, length: int) -> np.ndarray:
     def pack(held: list[np.ndarray]) -> pd.DataFrame:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         top = (values >> shift).astype(np.int64)
-        block = top * blocks >> 40
-        cuts = np.searchsorted(block, np.arange(blocks + 1))
+        present, begin = np.unique(top * blocks >> 40, return_index=True)
+        cuts = np.append(begin, len(values)).tolist()
         made = []
-        for b in range(blocks):
-            part = slice(cuts[b], cuts[b + 1])
-            if cuts[b] < cuts[b + 1]:
-                made.append((b, values[part].tobytes(), (counts[part] > 1).tobytes()))
+        for b, lo, hi in zip(present.tolist(), cuts, cuts[1:], strict=False):
+            made.append((b, values[lo:hi].tobytes(), (counts[lo:hi] > 1).tobytes()))
         return pd.DataFrame(made, columns=["block", "entries", "often"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,8 +205,8 @@ def repeated_in_group(contents: list[bytes], places: list[int], counts: list[int
     """For each distinct segment of one anchor the starts of its repeated windows.
 
     All windows of a segment that occurs twice repeat. A window shared with another segment lies inside what the two
-    have in common around the anchor, so each segment is cut to the longest such part on either side. Cut segments
-    that are equal repeat as a whole; the others are told apart by their suffix array.
+    have in common around the anchor, so each segment is cut to the longest such part on either side. The suffix
+    array of the distinct cut segments tells which of their windows repeat; one alone has nothing to be told from.
     """
     every = lambda n: np.arange(max(0, n - length + 1))
     found = [every(len(c)) if k > 1 else every(0) for c, k in zip(contents, counts, strict=True)]
@@ -216,12 +218,10 @@ def repeated_in_group(contents: list[bytes], places: list[int], counts: list[int
     for i, (c, p) in enumerate(zip(contents, places, strict=True)):
         if left[i] + right[i] >= length:
             cut.setdefault((c[p - left[i] : p + right[i]], left[i]), []).append(i)
-    parts = list(cut)
-    open_ = [len(m) == 1 and counts[m[0]] == 1 for m in cut.values()]
-    starts = [every(len(part)) for part, _ in parts]
-    if any(open_):
-        sorted_ = repeated_starts([part for part, _ in parts], length)
-        starts = [s if o else e for s, o, e in zip(sorted_, open_, starts, strict=True)]
+    copies = [sum(counts[i] for i in members) for members in cut.values()]
+    starts = [every(len(part)) if k > 1 else every(0) for (part, _), k in zip(cut, copies, strict=True)]
+    if len(cut) > 1:
+        starts = repeated_starts([part for part, _ in cut], length, copies)
     for members, inside in zip(cut.values(), starts, strict=True):
         for i in members:
             if counts[i] == 1:
@@ -229,6 +229,66 @@ def repeated_in_group(contents: list[bytes], places: list[int], counts: list[int
     return found
 
 
+def split(rows: DataFrame, length: int) -> DataFrame:
+    """(of, shift, anchor, key, content, place, times, low, high): the two halves of each segment of ``rows``.
+
+    The windows of a row have their anchor ``low`` to ``high`` bytes after their start. Each half of this range makes a
+    piece; its new anchor is all that its windows have in common, which is more of the text beside the old one. Equal
+    windows come to the same half and the same anchor, so none is lost. ``shift`` is the start of a piece in the
+    segment whose key is ``of``. A range of one byte has equal pieces only, so no group stays large.
+    """
+    columns = ["of", "shift", "anchor", "key", "content", "place", "times", "low", "high"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for key, content, place, times, low, high in zip(*(batch[c] for c in [columns[3], *columns[4:]]), strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(0, place - b), min(len(content) - length, place - a)
+                    if first <= last:
+                        piece, at = content[first : last + length], place - first
+                        beside = hashlib.blake2b(content[place - a : place + length - b], digest_size=8, salt=b"%d" % a).digest()
+                        anchor = int.from_bytes(beside, "little", signed=True)
+                        made.append((key, first, anchor, digest(piece + at.to_bytes(4, "little")), piece, at, times, a, b))
+            yield pd.DataFrame(made, columns=columns)
+
+    return rows.mapInPandas(
+        run, "of binary, shift bigint, anchor bigint, key binary, content binary, place int, times bigint, low int, high int"
+    )
+
+
+def small_groups(found: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Distinct (anchor, key, content, place, times) with at most ``GROUP`` per anchor, and (of, shift, key) of each split.
+
+    Every round halves the range of :func:`split`, so the number of rounds is the logarithm of ``length`` at most.
+    """
+    rows = found.select("anchor", "key", "content", "place", F.lit(1).cast("bigint").alias("times"))
+    rows = rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - length // 2))
+    merged = [F.max(c).alias(c) for c in ("content", "place")] + [F.sum("times").alias("times")]
+    merged += [F.max(c).alias(c) for c in ("low", "high")]
+    done, cuts = [], []
+    while True:
+        often = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("anchor")
+        often = materialize(often, "often")
+        different = rows.select("anchor", "key").join(often, "anchor", "left_semi").distinct()
+        busy = different.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("anchor")
+        busy = materialize(busy, "busy")
+        some = not busy.isEmpty()
+        rest = rows.join(busy, "anchor", "left_anti") if some else rows
+        done.append(rest.groupBy("anchor", "key").agg(*merged).drop("low", "high"))
+        if not some:
+            return reduce(DataFrame.unionByName, done), cuts
+        crowded = rows.join(busy, "anchor", "left_semi").groupBy("anchor", "key").agg(*merged)
+        rows = materialize(split(crowded, length), "pieces")
+        cuts.append(rows.select("of", "shift", "key"))
+        rows = rows.drop("of", "shift")
+
+
+def moved(spans: Column, by: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["from"] + by).alias("from"), (s["to"] + by).alias("to")))
+
+
 def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Byte spans that windows at the ascending ``starts`` cover, merged."""
     if not len(starts):
@@ -251,9 +311,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     total = texts.agg(F.sum("n")).first()[0] or 0
     repeated = repeated_anchors(rows, int(max(16, total // (length * 10_000))), length)
     found = materialize(occurrences(rows, repeated, length), "segments")
-    distinct = found.groupBy("anchor", "key").agg(
-        F.max("content").alias("content"), F.max("place").alias("place"), F.count("*").alias("times")
-    )
+    distinct, cuts = small_groups(found, length)
 
     def resolve(rows: list[tuple]) -> list[tuple]:
         _, keys, contents, places, times = zip(*rows, strict=True)
@@ -278,9 +336,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     ordered = distinct.repartition("anchor").sortWithinPartitions("anchor")
     resolved = ordered.mapInPandas(run, "done_key binary, spans array<struct<from:bigint,to:bigint>>")
     resolved = materialize(resolved, "resolved")
+    for cut in reversed(cuts):  # what the pieces have is in the segments they were cut from
+        lifted = cut.join(resolved, F.col("key") == F.col("done_key")).select(
+            F.col("of").alias("done_key"), moved(F.col("spans"), F.col("shift")).alias("spans")
+        )
+        both = resolved.unionByName(lifted).groupBy("done_key")
+        resolved = materialize(both.agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")), "resolved")
     places = found.select("key", "id", "start").join(resolved, F.col("key") == F.col("done_key"))
-    moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("start")).alias("from"), (s["to"] + F.col("start")).alias("to")))
-    spans = places.select("id", F.explode(moved).alias("span"))
+    spans = places.select("id", F.explode(moved(F.col("spans"), F.col("start"))).alias("span"))
     spans = spans.unionByName(copied.select("id", F.struct(F.lit(0).cast("bigint").alias("from"), F.col("n").alias("to")).alias("span")))
     return texts, materialize(spans.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans")), "spans")
 

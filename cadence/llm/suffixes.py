@@ -86,11 +86,12 @@ def suffix_array(text: np.ndarray) -> list[int]:
     return out
 
 
-def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
+def repeated_starts(strings: list[bytes], length: int, copies: list[int] | None = None) -> list[np.ndarray]:
     """For each string the starts of its windows of ``length`` that also start elsewhere in the strings.
 
     Equal neighbours in the suffix array of all strings show it: of the suffixes that share a window with one, the
-    next to it in order does.
+    next to it in order does. ``copies`` says how often each string occurs; a suffix of one that occurs twice is its
+    own neighbour.
     """
     ends = np.cumsum([len(s) + 1 for s in strings])
     joined = b"\0".join(strings) + b"\0"
@@ -104,7 +105,10 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
         begin = end
     order = order[rest[order] >= length]
     flags = np.zeros(len(symbols), bool)
-    if len(order) < 2:
+    if copies is not None:
+        own = np.repeat(np.array(copies) > 1, np.diff(ends, prepend=0))
+        flags[order] = own[order]
+    if not len(order):
         return [np.empty(0, np.int64) for _ in strings]
     windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), length)
     for lo in range(0, len(order) - 1, 20_000):

@@ -29,6 +29,10 @@ def test_repeated_starts():
         count = Counter(s[i : i + n] for s in strings for i in range(len(s) - n + 1))
         want = [[i for i in range(len(s) - n + 1) if count[s[i : i + n]] > 1] for s in strings]
         assert [r.tolist() for r in repeated_starts(strings, n)] == want
+        copies = [rng.choice([1, 1, 2]) for _ in strings]
+        count = Counter(s[i : i + n] for s, k in zip(strings, copies, strict=True) for _ in range(k) for i in range(len(s) - n + 1))
+        want = [[i for i in range(len(s) - n + 1) if count[s[i : i + n]] > 1] for s in strings]
+        assert [r.tolist() for r in repeated_starts(strings, n, copies)] == want
 
 
 def brute(texts: dict, length: int) -> dict:
@@ -65,6 +69,21 @@ def test_slices_periods_and_borders(spark, monkeypatch):
     check(documents(spark, rows), 21)
 
 
+def test_an_anchor_in_many_contexts_is_split(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, sides = letters(90), [letters(60) for _ in range(6)]
+    rows = [letters(70) + passage[rng.randrange(8) : 90 - rng.randrange(8)] + letters(70) for _ in range(60)]
+    rows += [letters(20) + rng.choice(sides) + passage + rng.choice(sides)[: rng.randrange(60)] + letters(20) for _ in range(60)]
+    rows += rows[:3] + [r[10:] for r in rows[60:64]]
+    docs = documents(spark, rows)
+    rounds, cut = [], X.split
+    monkeypatch.setattr(X, "GROUP", 2)
+    monkeypatch.setattr(X, "split", lambda *a: rounds.append(a) or cut(*a))
+    check(docs, 40)
+    assert 2 < len(rounds) < 8
+
+
 def test_null_ids_and_no_rows(spark):
     rows = [(None, "z" * 300), (1, "y" * 100), (2, "z" * 300)]
     found = {r["doc_id"]: r["n_spans"] for r in X.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
