@@ -258,10 +258,10 @@ def split(rows: DataFrame, length: int) -> DataFrame:
     )
 
 
-def small_groups(found: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+def small_groups(found: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Distinct (anchor, key, content, place, times) with at most ``GROUP`` per anchor, and (of, shift, key) of each split.
 
-    Every round halves the range of :func:`split`, so the number of rounds is the logarithm of ``length`` at most.
+    The first of the tables has whole segments, the others the pieces of each split. Every round halves the range of :func:`split`, so the number of rounds is the logarithm of ``length`` at most.
     """
     rows = found.select("anchor", "key", "content", "place", F.lit(1).cast("bigint").alias("times"))
     rows = rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - length // 2))
@@ -278,7 +278,7 @@ def small_groups(found: DataFrame, length: int) -> tuple[DataFrame, list[DataFra
         rest = rows.join(busy, "anchor", "left_anti") if some else rows
         done.append(rest.groupBy("anchor", "key").agg(*merged).drop("low", "high"))
         if not some:
-            return reduce(DataFrame.unionByName, done), cuts
+            return done, cuts
         crowded = rows.join(busy, "anchor", "left_semi").groupBy("anchor", "key").agg(*merged)
         rows = materialize(split(crowded, length), "pieces")
         cuts.append(rows.select("of", "shift", "key"))
@@ -332,16 +332,21 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
                 out = []
         yield pd.DataFrame(out + (resolve(group) if group else []), columns=["done_key", "spans"])
 
-    # the segments of an anchor stream through their task one anchor after the other
-    ordered = distinct.repartition("anchor").sortWithinPartitions("anchor")
-    resolved = ordered.mapInPandas(run, "done_key binary, spans array<struct<from:bigint,to:bigint>>")
-    resolved = materialize(resolved, "resolved")
-    for cut in reversed(cuts):  # what the pieces have is in the segments they were cut from
-        lifted = cut.join(resolved, F.col("key") == F.col("done_key")).select(
-            F.col("of").alias("done_key"), moved(F.col("spans"), F.col("shift")).alias("spans")
-        )
-        both = resolved.unionByName(lifted).groupBy("done_key")
-        resolved = materialize(both.agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")), "resolved")
+    def resolved_groups(groups: DataFrame) -> DataFrame:
+        # the segments of an anchor stream through their task one anchor after the other
+        ordered = groups.repartition("anchor").sortWithinPartitions("anchor")
+        return materialize(ordered.mapInPandas(run, "done_key binary, spans array<struct<from:bigint,to:bigint>>"), "resolved")
+
+    resolved = resolved_groups(distinct[0])
+    if cuts:
+        pieces = resolved_groups(reduce(DataFrame.unionByName, distinct[1:]))
+        for cut in reversed(cuts):  # what the pieces have is in the segments they were cut from
+            lifted = cut.join(pieces, F.col("key") == F.col("done_key")).select(
+                F.col("of").alias("done_key"), moved(F.col("spans"), F.col("shift")).alias("spans")
+            )
+            both = pieces.unionByName(lifted).groupBy("done_key")
+            pieces = materialize(both.agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")), "pieces")
+        resolved = resolved.unionByName(pieces)
     places = found.select("key", "id", "start").join(resolved, F.col("key") == F.col("done_key"))
     spans = places.select("id", F.explode(moved(F.col("spans"), F.col("start"))).alias("span"))
     spans = spans.unionByName(copied.select("id", F.struct(F.lit(0).cast("bigint").alias("from"), F.col("n").alias("to")).alias("span")))
