@@ -7,7 +7,7 @@ import pytest
 from corpus import prose
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, chat, exact_dedup, jaccard, packing, quality_classifier, quality_rules, secrets, suffix_dedup
+from cadence.llm import bpe, chat, packing, quality_classifier, quality_rules, secrets, suffix_dedup
 
 #: Column names that occur inside the operators.
 TAKEN = (
@@ -41,13 +41,12 @@ def result(table) -> list[str]:
     return sorted(repr(tuple(r)) for r in table.collect())
 
 
+#: Exact dedup and the Jaccard join are run by the stages below.
 OPERATORS = {
-    "exact_dedup": exact_dedup.exact_dedup,
     "secrets": lambda d: secrets.scan(d).select("row.doc_id", "found"),
     "suffix_dedup": suffix_dedup.suffix_dedup,
     "quality_rules": quality_rules.quality_rules,
     "bpe": bpe.encode,
-    "jaccard": jaccard.jaccard_groups,
     "quality_classifier": quality_classifier.labeller_votes,
 }
 
