@@ -27,6 +27,8 @@ DIMENSIONS = 512
 TRAINING_ROWS = 10_000
 MIN_SCORE = 0.5
 CACHED_WORDS = 200_000
+#: Words of a stretch of text in which different words are counted; all stretches of a text count.
+STRETCH = 1000
 MARKS = frozenset("#$%&*<>@^_`{|}~!/\\+=")
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -118,6 +120,14 @@ def _vote(value: float, bad: bool, good: bool) -> int:
     return -1 if bad else 1 if good else 0
 
 
+def _variety(rows: np.ndarray) -> float:
+    """Share of words that are new in their stretch of the text, over all of its stretches.
+
+    Stretches keep long texts comparable with short ones, since fewer and fewer words of a growing text are new.
+    """
+    return sum(len(np.unique(rows[at : at + STRETCH])) for at in range(0, len(rows), STRETCH)) / len(rows)
+
+
 def votes(text: str, known: Words) -> list[int]:
     """One vote per labeller: 1 good, -1 bad, 0 none."""
     words = text.split()
@@ -129,7 +139,7 @@ def votes(text: str, known: Words) -> list[int]:
     marks, upper, function, bars = (np.count_nonzero(facts & bit) / n for bit in (MARK, UPPER, FUNCTION, BAR))
     mean_length = known.lengths[rows].mean()
     repeats = np.count_nonzero(rows[1:] == rows[:-1]) / n
-    variety = len(np.unique(rows[:1000])) / min(n, 1000)
+    variety = _variety(rows)
     lines = [x for x in text.split("\n") if x.strip()]
     ends = sum(x.rstrip()[-1] in ".!?:;\"'" for x in lines) / len(lines)
     return [

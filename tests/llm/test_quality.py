@@ -163,3 +163,15 @@ def test_classifier_on_odd_tables(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in scores.items() if r["kept"])
     assert C.classify(empty(spark)).count() == 0
     assert C.classify(spark.createDataFrame([(1, None), (1, None)], "doc_id bigint, text string")).count() == 2
+
+
+def test_variety_is_of_whole_texts():
+    """The words after the first thousand count as much as those."""
+    fresh, stale = " ".join(f"w{i}" for i in range(1000)), " ".join(f"r{i % 3}" for i in range(9000))
+    vote = C.LABELLERS.index("variety")
+    assert C.votes(f"{fresh} {stale}", C.Words())[vote] == -1
+    assert C.votes(f"{stale} {fresh}", C.Words())[vote] == -1
+    assert C.votes(" ".join(f"w{i}" for i in range(9500)), C.Words())[vote] == 1
+    for n in (1, 999, 1000):  # one stretch: as many different words as there are
+        rows = np.arange(n) // 2
+        assert C._variety(rows) == len(set(rows.tolist())) / n
