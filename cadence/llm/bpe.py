@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters whose words are encoded together, and words that a worker remembers: both bound memory, not results.
-BLOCK_CHARS = 1_000_000
-CACHED_WORDS = 300_000
+BLOCK_CHARS = 500_000
+CACHED_WORDS = 150_000
+#: Rows whose ids are sent on together.
+SENT_ROWS = 1_000
 #: Fixed value: how byte-level vocabularies split text. White space is Unicode's.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -64,8 +66,6 @@ class Vocabulary:
         self.pair_keys, self.pair_ranks = keys[order], order + 256
         self.merge_rank = dict(zip(keys.tolist(), range(256, self.count), strict=True))
         self.added = {t["content"]: t["id"] for t in read["added_tokens"]}
-        self.bytes_of = dict(zip(self.ids.tolist(), self.tokens, strict=True))
-        self.bytes_of |= {i: content.encode() for content, i in self.added.items()}
         whole = np.arange(self.count)
         good = self.compatible(self.left[256:], self.right[256:], whole[256:])
         proposed = np.concatenate([np.ones(256, bool), good])
@@ -199,8 +199,15 @@ def encoder(path: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return encoder(path).vocabulary
+def token_bytes(path: str) -> dict[int, bytes]:
+    """What each id stands for. A worker that only decodes holds this and none of the merges."""
+    with open(path, encoding="utf-8") as file:
+        read = json.load(file)
+    letters = byte_letters()
+    model = read["model"]
+    made = [*letters, *(a + b for a, b in model["merges"])]
+    added = {t["id"]: t["content"].encode() for t in read["added_tokens"]}
+    return {model["vocab"][t]: bytes(letters[c] for c in t) for t in made} | added
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -213,7 +220,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["id"], "ids": list(encoder(path).encode(batch["text"]))})
+            for at in range(0, len(batch), SENT_ROWS):
+                part = batch.iloc[at : at + SENT_ROWS]
+                yield pd.DataFrame({"doc_id": part["id"], "ids": list(encoder(path).encode(part["text"]))})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['id']}, ids binary")
@@ -223,7 +232,7 @@ def decode(ids: Column, path: str = VOCABULARY) -> Column:
     """Text of a binary column of ids; null stays null. Bytes that are no UTF-8 become replacement characters."""
 
     def one(value: bytes) -> str:
-        table = vocabulary(path).bytes_of
+        table = token_bytes(path)
         return b"".join([table[i] for i in np.frombuffer(value, "<u4").tolist()]).decode("utf-8", "replace")
 
     @F.pandas_udf("string")

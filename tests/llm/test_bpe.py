@@ -51,3 +51,19 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     rows = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id bigint, text string")
     assert sorted((r["doc_id"] or 0) for r in B.encode(rows).collect()) == [0, 1, 1]
     assert B.encode(empty(spark)).count() == 0
+
+
+def test_decoding_needs_no_merges(spark):
+    """A worker that decodes holds the bytes of the tokens only, all of them."""
+    table, whole = B.token_bytes(B.VOCABULARY), B.Vocabulary()
+    assert table == dict(zip(whole.ids.tolist(), whole.tokens, strict=True)) | {i: c.encode() for c, i in whole.added.items()}
+    before = B.encoder.cache_info().currsize
+    text = B.decode.__globals__["token_bytes"](B.VOCABULARY)[int(whole.ids[65])]
+    assert text == b"A" and B.encoder.cache_info().currsize == before
+
+
+def test_rows_are_sent_on_in_parts(spark):
+    texts = [f"row {i} of many" if i % 7 else None for i in range(2 * B.SENT_ROWS + 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    found = {r["doc_id"]: bytes(r["ids"]) for r in B.encode(docs).collect()}
+    assert found == dict(enumerate(B.Encoder().encode(texts)))
