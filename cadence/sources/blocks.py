@@ -8,6 +8,7 @@ a scan and its report are the same pass.
 from __future__ import annotations
 
 import csv
+import fnmatch
 import io
 import json
 from collections.abc import Iterator, Sequence
@@ -15,9 +16,11 @@ from functools import lru_cache
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.csv as pacsv
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 
 #: Bytes of the first block, and how far it may grow while the header is not complete.
 HEADER_BLOCK = 64 << 10
@@ -26,6 +29,8 @@ HEADER_LIMIT = 1 << 20
 PARSE_BLOCK = 8 << 20
 #: Bytes of a piece of a file whose lines can be read apart.
 PIECE_BYTES = 64 << 20
+#: Rows of small files that are sent on together.
+SENT_ROWS = 10_000
 
 OK = "ok"
 UNREADABLE = "could not read file"
@@ -57,20 +62,33 @@ def open_stream(path: str) -> pa.NativeFile:
 
 def read_header(path: str, sep: str = ",") -> list[str] | None:
     """Names in the first row, found in the first block; None for a file that is empty or has no end to its first row."""
-    block = b""
     with open_stream(path) as stream:
-        while len(block) < HEADER_LIMIT:
-            more = stream.read(HEADER_BLOCK)
-            block += more
-            at = -1
-            while (at := block.find(b"\n", at + 1)) >= 0:
-                if block.count(b'"', 0, at) % 2 == 0:
-                    return _names(block[:at], sep)
-            if not more:
-                return _names(block, sep) if block.strip() else None
+        return _header(stream, sep)
+
+
+def _header(stream, sep: str) -> list[str] | None:
+    block = b""
+    while len(block) < HEADER_LIMIT:
+        more = stream.read(HEADER_BLOCK)
+        block += more
+        at = -1
+        while (at := block.find(b"\n", at + 1)) >= 0:
+            if block.count(b'"', 0, at) % 2 == 0:
+                return _names(block[:at], sep)
+        if not more:
+            return _names(block, sep) if block.strip() else None
     return None
 
 
+def _small(path: str) -> bytes | None:
+    """All of a plain file that fits in the first blocks, so that it is opened once."""
+    if path.endswith(".gz"):
+        return None
+    with open_stream(path) as stream:
+        content = stream.read(HEADER_LIMIT)
+        return content if len(content) < HEADER_LIMIT and not stream.read(1) else None
+
+
 def _names(row: bytes, sep: str) -> list[str]:
     text = row.decode("utf-8", "replace").lstrip("﻿").rstrip("\r")
     return next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
@@ -141,7 +159,9 @@ def csv_batches(
     """
     rows = 0
     try:
-        header = read_header(path, sep)
+        whole = start == 0 and end is None
+        content = _small(path) if whole else None
+        header = read_header(path, sep) if content is None else _header(io.BytesIO(content), sep)
         if header is None:
             yield UNREADABLE
             return
@@ -157,9 +177,11 @@ def csv_batches(
             ragged.append(row.text)
             return "skip"
 
-        whole = start == 0 and end is None
         store, inside = locate(path)
-        source = open_stream(path) if whole else store.open_input_file(inside)
+        if content is not None:
+            source = io.BytesIO(content)
+        else:
+            source = open_stream(path) if whole else store.open_input_file(inside)
         with source:
             lines = Lines(source, start, end)
             reader = pacsv.open_csv(
@@ -203,20 +225,107 @@ def _filled(texts: list[str], places: list[int], columns: Sequence[str], sep: st
 
 def csv_task(columns: Sequence[str], sep: str = ",", multi_line: bool = True):
     """For ``mapInArrow`` over (path, start, end): rows (_path, _status, columns); each piece ends with its status alone."""
-    kinds = [pa.string()] * len(columns)
+    schema = pa.schema([(n, pa.string()) for n in ("_path", "_status", *columns)])
+
+    def labeled(path: str, found: pa.RecordBatch | str) -> pa.RecordBatch:
+        if isinstance(found, str):
+            arrays = [pa.array([path]), pa.array([found]), *[pa.nulls(1, pa.string()) for _ in columns]]
+        else:
+            arrays = [pa.repeat(pa.scalar(path), found.num_rows), pa.nulls(found.num_rows, pa.string()), *found.columns]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_path", "_status", *columns]
+        held, rows = [], 0
         for batch in batches:
             for piece in batch.to_pylist():
                 for found in csv_batches(piece["path"], columns, piece["start"], piece["end"], sep, multi_line):
-                    if isinstance(found, str):
-                        nothing = [pa.nulls(1, kind) for kind in kinds]
-                        yield pa.RecordBatch.from_arrays([pa.array([piece["path"]]), pa.array([found]), *nothing], names=names)
-                    else:
-                        path = pa.array([piece["path"]] * found.num_rows, pa.string())
-                        status = pa.nulls(found.num_rows, pa.string())
-                        yield pa.RecordBatch.from_arrays([path, status, *found.columns], names=names)
+                    held.append(labeled(piece["path"], found))
+                    rows += held[-1].num_rows
+                    if rows >= SENT_ROWS:
+                        yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
+                        held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
+
+    return run
+
+
+# --- directories ------------------------------------------------------------------
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's sources take for no data."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def folders_below(path: str) -> list[str]:
+    """The directories in a directory, in order; none if it is not there."""
+    store, inside = locate(path)
+    found = store.get_file_info(pafs.FileSelector(inside, allow_not_found=True))
+    return sorted(f"{path}/{f.base_name}" for f in found if f.type == pafs.FileType.Directory)
+
+
+def list_task(pattern: str):
+    """For ``mapInArrow`` over folders: (path, length) of the files in them whose names match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, lengths = [], []
+            for folder in batch.column(0).to_pylist():
+                store, inside = locate(folder)
+                for file in store.get_file_info(pafs.FileSelector(inside, allow_not_found=True)):
+                    if file.type == pafs.FileType.File and not _hidden(file.base_name) and fnmatch.fnmatchcase(file.base_name, pattern):
+                        paths.append(f"{folder}/{file.base_name}")
+                        lengths.append(file.size)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["path", "length"])
+
+    return run
+
+
+#: Characters that Spark writes as %XX in the name of a partition's directory.
+ESCAPED = frozenset([chr(c) for c in range(1, 32)] + list("\"#%'*/:=?\\\x7f{[]^"))
+
+
+def partition_folder(column: str, value: str | None) -> str:
+    """The directory of a value, named as Spark's writers do."""
+    if not value:
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
+
+
+def csv_writer(path: str, columns: Sequence[str]):
+    """For ``mapInArrow`` over (repo_id, text columns) sorted by repo_id: a CSV file per repository, and how many.
+
+    A task that is run again writes the same files again.
+    """
+    schema = pa.schema([(c, pa.string()) for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = locate(path)
+        name, number = f"part-{TaskContext.get().partitionId():05d}.csv", 0
+        folder, sink, writer = None, None, None
+        try:
+            for batch in batches:
+                runs = pc.run_end_encode(batch.column(0))
+                start = 0
+                for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                    wanted = partition_folder("repo_id", value)
+                    if wanted != folder:
+                        if writer is not None:
+                            writer.close()
+                            sink.close()
+                        folder, number = wanted, number + 1
+                        store.create_dir(f"{inside}/{folder}", recursive=True)
+                        sink = store.open_output_stream(f"{inside}/{folder}/{name}")
+                        writer = pacsv.CSVWriter(sink, schema)
+                    part = [pc.cast(c, pa.string()) for c in batch.columns[1:]]
+                    writer.write_batch(pa.RecordBatch.from_arrays([c.slice(start, end - start) for c in part], schema=schema))
+                    start = end
+        finally:
+            if writer is not None:
+                writer.close()
+                sink.close()
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["files"])
 
     return run
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cadence.functions.columns import safe_timestamp
 from cadence.schemas import RAW_COLUMNS
 from cadence.session import require_utc
-from cadence.sources.blocks import OK, PIECE_BYTES, UNREADABLE, csv_task
+from cadence.sources.blocks import OK, PIECE_BYTES, UNREADABLE, csv_task, csv_writer, folders_below, list_task
 
 TIMES = {
     "commits": ("author_date",),
@@ -26,6 +26,8 @@ COUNTS = {"commits": "comment_count", "issues": "comments", "pull_requests": "co
 FILTERED = ("commits", "stargazers", "repository")
 #: Where a stream's files are: the directory that holds a file names the repository.
 LAYOUT = "{root}/*/{stream}.csv"
+#: Directories that one task lists, files that one task reads, and the tasks that fewer files are dealt to.
+LISTED_TOGETHER, READ_TOGETHER, READERS = 256, 64, 200
 
 
 def typed_column(stream: str, name: str) -> Column:
@@ -71,6 +73,27 @@ def empty_files(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     return [s.getPath().toString() for p in patterns for s in _matching(spark, p) if s.isFile() and s.getLen() == 0]
 
 
+def folder_files(spark: SparkSession, pattern: str) -> tuple[DataFrame, int] | None:
+    """(path, length) of the files of a pattern whose last directory alone is ``*``, and how many tasks should read them.
+
+    The driver lists that one level of directories, tasks list what is in them: Spark's sources list every file by a
+    task of its own. Other patterns and few directories give None.
+    """
+    parent, name = pattern.rsplit("/", 1)
+    base, star = parent.rsplit("/", 1) if "/" in parent else ("", parent)
+    if star != "*" or not base or set(base) & set("*?[]{}\\") or set(name) & set("[]{}\\"):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = folders_below(store.makeQualified(path).toString())
+    if len(names) <= READERS:
+        return None
+    tasks = max(READERS, math.ceil(len(names) / READ_TOGETHER))
+    folders = spark.createDataFrame([(n,) for n in names], "folder string")
+    folders = folders.repartition(math.ceil(len(names) / LISTED_TOGETHER))
+    return folders.mapInArrow(list_task(name), "path string, length bigint"), tasks
+
+
 def file_pieces(spark: SparkSession, patterns: Sequence[str], multi_line: bool = True) -> DataFrame:
     """(path, start, end) of the pieces that tasks read: whole files, dealt by size, or ranges of plain files.
 
@@ -79,12 +102,17 @@ def file_pieces(spark: SparkSession, patterns: Sequence[str], multi_line: bool =
     nothing = spark.createDataFrame([], "path string, start bigint, end bigint")
     if not patterns:
         return nothing
-    try:
-        listed = spark.read.format("binaryFile").load(list(patterns)).select("path", "length")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return nothing
+    found = folder_files(spark, patterns[0]) if len(patterns) == 1 else None
+    if found is not None:
+        listed, tasks = found
+        listed = listed.repartition(tasks) if multi_line else listed
+    else:
+        try:
+            listed = spark.read.format("binaryFile").load(list(patterns)).select("path", "length")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return nothing
     if multi_line:
         return listed.select("path", F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
     size = F.lit(PIECE_BYTES).cast("bigint")
@@ -157,8 +185,9 @@ def scan_report(spark: SparkSession, root: str, stream: str, **options) -> DataF
     """
     rows = scan_text(spark, root, stream, **options)
     patterns = stream_paths(spark, root, stream, **{k: v for k, v in options.items() if k != "multi_line"})
-    empty = spark.createDataFrame([(p, UNREADABLE) for p in empty_files(spark, patterns)], "_path string, _status string")
-    rows = rows.unionByName(empty, allowMissingColumns=True)
+    if len(patterns) != 1 or folder_files(spark, patterns[0]) is None:  # tasks pass over no file that they list
+        empty = spark.createDataFrame([(p, UNREADABLE) for p in empty_files(spark, patterns)], "_path string, _status string")
+        rows = rows.unionByName(empty, allowMissingColumns=True)
     checked = [c for c in RAW_COLUMNS[stream] if c in TIMES[stream] or c == COUNTS.get(stream)]
     given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     bad = sum((given(c) & typed_column(stream, c).isNull()).cast("bigint") for c in checked)
@@ -176,10 +205,19 @@ def scan_streams(spark: SparkSession, root: str, **options) -> dict[str, DataFra
 
 
 def write_raw(rows: DataFrame, path: str) -> None:
-    """The columns of a stream as CSV text, one directory per repository; the inverse of a scan with its layout."""
-    text = [F.col(c).cast("string").alias(c) if c != "repo_id" else F.col(c) for c in rows.columns]
-    writer = rows.select(*text).repartition("repo_id").write.partitionBy("repo_id")
-    writer.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+    """The columns of a stream as CSV text, one directory per repository; the inverse of a scan with its layout.
+
+    Rows are dealt and sorted by repository, and tasks write its file themselves, with the file systems that the scan
+    reads with: Spark's writer takes some 50 ms of a core for every file that it opens and commits.
+    """
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(target, True)
+    columns = [c for c in rows.columns if c != "repo_id"]
+    text = rows.select(F.col("repo_id").cast("string").alias("repo_id"), *[F.col(c).cast("string").alias(c) for c in columns])
+    dealt = text.repartition("repo_id").sortWithinPartitions("repo_id")
+    dealt.mapInArrow(csv_writer(store.makeQualified(target).toString(), columns), "files bigint").agg(F.sum("files")).collect()
 
 
 #: Layout of what :func:`write_raw` writes for a stream below ``root``.
