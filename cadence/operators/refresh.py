@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions.columns import period
 from cadence.operators import panel as P
+from cadence.session import materialize
 
 ACTORS = "repo_id string, kind tinyint, actor string, n bigint, comments bigint, batch int, period int"
 COMMITS = "groups bigint, batch int"
@@ -63,7 +64,7 @@ class PanelStore:
         if done and batch <= done[-1]:
             raise ValueError(f"batch {batch} does not follow batch {done[-1]}")
         partials = P.actor_partials(events.filter(F.col("ts").isNotNull()))
-        self._write(partials.repartition("period", "repo_id"), "actors", batch, "period")
+        self._write(partials, "actors", batch, "period")
         if snapshots is not None:
             order = F.struct("fetched_at", *self.tie_break, F.col("forks_count").cast("long").alias("forks_count"))
             newest = snapshots.filter("fetched_at IS NOT NULL").groupBy("repo_id", period("fetched_at").alias("period"))
@@ -76,14 +77,19 @@ class PanelStore:
         own = actors.filter(F.col("batch") == batch).select("repo_id", "period")
         if snapshots is not None:
             own = own.unionByName(seen.filter(F.col("batch") == batch).select("repo_id", "period"))
-        touched = own.distinct()
-        periods = [r["period"] for r in touched.select("period").distinct().collect()]  # bounded by the calendar
 
         def old_and_new(rows: DataFrame) -> DataFrame:
+            if not done:  # every group is new, and each of its actors has one row
+                return rows.filter(F.col("repo_id").isNotNull())
             return rows.filter(F.col("period").isin(*periods)).join(touched, ["repo_id", "period"], "left_semi")
 
-        merged = old_and_new(actors).groupBy("repo_id", "period", "kind", "actor")
-        merged = merged.agg(F.sum("n").alias("n"), F.sum("comments").alias("comments"))
+        if done:  # written, so that a short list of groups is known to be short and goes to where the old rows are
+            touched = materialize(own.distinct(), "touched")
+            periods = [r["period"] for r in touched.select("period").distinct().collect()]  # bounded by the calendar
+        merged = old_and_new(actors)
+        if done:
+            merged = merged.groupBy("repo_id", "period", "kind", "actor").agg(F.sum("n").alias("n"), F.sum("comments").alias("comments"))
+        merged = merged.select("repo_id", "period", "kind", "actor", "n", "comments")
         forks = None
         if seen is not None:
             newest = old_and_new(seen).groupBy("repo_id", "period").agg(F.max("newest").alias("newest"))

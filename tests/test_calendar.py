@@ -148,3 +148,18 @@ def test_batches_equal_one_run(spark, tmp_path):
     assert again.quarterly_activity().exceptAll(whole).count() == 0
     again.add(6, events(spark, made[:1]))
     assert again.quarterly_activity().agg(F.sum("commit_count")).first()[0] == P.quarterly_activity(events(spark, made + made[:1])).agg(F.sum("commit_count")).first()[0]
+
+
+def test_a_first_batch_is_not_merged_again(spark, tmp_path, monkeypatch):
+    """Nothing is older than the first batch; later ones write the groups that they touch down before they look for them."""
+    from cadence.operators import refresh
+
+    written = []
+    monkeypatch.setattr(refresh, "materialize", lambda df, name: written.append(name) or df)
+    store = PanelStore(spark, str(tmp_path / "store"))
+    rows = [("a", 1, "2020-01-05", "p", 1), ("a", 1, "2020-02-05", "p", 1), (None, 1, "2020-02-05", "p", 1)]
+    touched = store.add(1, events(spark, rows))
+    assert written == [] and [(r.repo_id, r.period) for r in touched.collect()] == [("a", 8080)]
+    store.add(2, events(spark, rows[:1]))
+    assert written == ["touched"]
+    assert [(r.commit_count, r.commit_authors) for r in store.quarterly_activity().collect()] == [(3, 1)]

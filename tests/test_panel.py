@@ -227,3 +227,52 @@ def test_mixed_formats_and_inventory(spark, tmp_path):
     assert found["h.parquet"].status == "could not read file" and found["c.jsonl"].rows == 2
     with pytest.raises(ValueError):
         files.scan_file(spark, f"{tmp_path}/f.txt")
+
+
+def test_many_directories_are_listed_and_written_by_tasks(spark, tmp_path, monkeypatch):
+    """One file per repository whatever its name, and the same report as Spark's own listing gives."""
+    names = [f"r{i}" for i in range(30)] + ["a/b:c=%d", "x y", "é", None]
+    texts = [(n, f"2020-01-{i % 28 + 1:02d}", t) for i, n in enumerate(names) for t in ("u,1", None, "", 'q"q', "two\nlines")]
+    rows = spark.createDataFrame(texts, "repo_id string, starred_at string, user_login string")
+    for _ in range(2):  # again over what is there
+        raw.write_raw(rows, f"{tmp_path}/stargazers")
+    folders = sorted(p.name for p in (tmp_path / "stargazers").iterdir())
+    rows.write.partitionBy("repo_id").csv(f"{tmp_path}/own")
+    assert folders == sorted(p.name for p in (tmp_path / "own").iterdir() if p.is_dir())
+    assert all(len(list((tmp_path / "stargazers" / f).iterdir())) == 1 for f in folders)
+    (tmp_path / "stargazers" / "empty").mkdir()
+    (tmp_path / "stargazers" / "empty" / "part.csv").write_text("")
+    (tmp_path / "stargazers" / "empty" / "_hidden.csv").write_text("starred_at,user_login\n2020-01-01,x\n")
+    (tmp_path / "stargazers" / "beside.csv").write_text("starred_at,user_login\n2020-01-01,x\n")
+    found = {}
+    for readers in (200, 3):
+        monkeypatch.setattr(raw, "READERS", readers)
+        scan = raw.scan_stargazers(spark, str(tmp_path), layout=raw.WRITTEN_LAYOUT)
+        report = raw.scan_report(spark, str(tmp_path), "stargazers", layout=raw.WRITTEN_LAYOUT)
+        plan = scan._jdf.queryExecution().executedPlan().toString()
+        assert ("binaryFile" in plan) == (readers == 200)
+        found[readers] = sorted(map(str, scan.collect())), sorted(map(str, report.collect()))
+        kept = {(r.repo_id, r.user_login) for r in scan.collect()}
+        assert {t for n, t in kept if n == "x y"} == {"u,1", None, "", 'q"q', "two\nlines"}
+        assert len(scan.collect()) == len(texts)
+    assert found[200] == found[3]
+    assert raw.scan_stargazers(spark, f"{tmp_path}/nothing", layout=raw.WRITTEN_LAYOUT).count() == 0
+
+
+def test_a_cell_reaches_the_second_grouping_in_few_rows(spark):
+    """However many tasks group the actors, they hand on at most SPREAD partial rows of a cell."""
+    made = spark.range(6000, numPartitions=12).select(
+        F.concat(F.lit("r"), F.col("id") % 1).alias("repo_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(1).cast("tinyint").alias("kind"),
+        F.timestamp_seconds(1578182400 + F.col("id") % 1000).alias("ts"),
+        F.when(F.col("id") % 3 != 0, (F.col("id") % 500).cast("string")).alias("actor"), F.lit(1).cast("long").alias("comments"),
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counted = P.actor_partials(made).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert 1 < sum(n > 0 for n in counted) <= P.SPREAD and sum(counted) <= 500 + P.SPREAD
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    row = P.quarterly_activity(made).first()
+    assert (row.commit_count, row.commit_authors, row.star_count, row.star_users, row.commit_comments) == (4000, 500, 2000, 0, 4000)
