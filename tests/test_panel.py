@@ -276,3 +276,37 @@ def test_a_cell_reaches_the_second_grouping_in_few_rows(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     row = P.quarterly_activity(made).first()
     assert (row.commit_count, row.commit_authors, row.star_count, row.star_users, row.commit_comments) == (4000, 500, 2000, 0, 4000)
+
+
+def test_panel_of_two_rows_a_line_equals_that_of_all_events(spark, tmp_path):
+    """Ends and stars ride on commits and openings; NULLs, repeated orders and lines count as they do in single events."""
+    day = "timestamp_ntz'2020-01-15' + make_dt_interval({})"
+    lines = spark.range(400, numPartitions=3).selectExpr(
+        "id % 90 AS l_orderkey", "if(id % 29 = 0, NULL, id % 23) AS l_partkey", "if(id % 31 = 0, NULL, id % 12) AS l_suppkey",
+        "if(id % 37 = 0, NULL, int(id % 7)) AS l_linenumber", "double(id % 5) AS l_quantity", "double(id) AS l_extendedprice",
+        "if(id % 17 = 0, NULL, (id % 11) / 100) AS l_discount", "0.0D AS l_tax", "element_at(array('A', 'N', 'R', NULL), int(id % 4) + 1) AS l_returnflag",
+        "if(id % 3 = 0, 'F', 'O') AS l_linestatus", f"if(id % 41 = 0, NULL, {day.format('id')}) AS l_shipdate",
+    )
+    orders = spark.range(100).selectExpr("id % 80 AS o_orderkey", "if(id % 13 = 0, NULL, id % 9) AS o_custkey", f"if(id % 19 = 0, NULL, {day.format('id * 3')}) AS o_orderdate")
+    lines.unionAll(lines.filter("l_orderkey % 10 = 0")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    sf = str(tmp_path)
+    forks = P.latest_snapshot(mapping.snapshots(spark, sf), mapping.SNAPSHOT_TIE_BREAK)
+    single, packed = mapping.events(spark, sf), mapping.panel_events(spark, sf)
+    assert packed.count() == single.filter("kind IN (1, 2, 4)").count() < single.count()
+    wanted = P.activity_panel(single, forks)
+    got = mapping.panel(spark, sf)
+    assert got.schema == wanted.schema
+    assert sorted(got.collect(), key=str) == sorted(wanted.collect(), key=str)
+
+
+def test_riders_count_as_events_of_their_own(spark):
+    made = spark.createDataFrame(
+        [(1, 1, 3, 7, 5), (1, 1, 3, 7, 2), (1, 1, None, 7, None), (1, 2, 7, None, None), (2, 4, None, 8, 1), (2, 3, None, None, None)],
+        "repo_id long, kind tinyint, also tinyint, actor long, comments long",
+    ).withColumn("ts", F.lit("2020-02-01").cast("timestamp"))
+    rows = {r.repo_id: r for r in P.quarterly_activity(made).collect()}
+    one, two = rows[1], rows[2]
+    assert (one.commit_count, one.commit_authors, one.commit_comments, one.issue_count, one.issue_closed, one.star_count) == (3, 1, 7, 1, 2, 1)
+    assert (two.pr_count, two.pr_merged, two.issue_count, two.issue_closed) == (1, 0, 0, 1)
+    assert (one.pr_count, two.commit_count, two.star_count) == (None, None, None)
