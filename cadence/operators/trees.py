@@ -132,13 +132,20 @@ def rollout_trees(sequences: DataFrame, model: TreeForecast, steps: int) -> Data
     flat = TreeForecast(model.length, (), model.ensembles)  # the models themselves stay on the driver
     data = sequences.sparkSession.sparkContext.broadcast(flat)
 
-    @F.pandas_udf("array<array<double>>")
+    width = len(model.ensembles)
+
+    @F.pandas_udf("array<double>")
     def rolled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for lags, wanted in batches:
             if len(lags):
                 made = data.value.roll(np.stack(lags.to_numpy()).astype(float), max(int(wanted.max()), 0))
-                yield pd.Series([list(map(list, m[:n])) for m, n in zip(made, wanted, strict=True)])
+                # flat arrays leave Python as they are; rows of lists are taken apart value by value
+                yield pd.Series([m[:n].ravel() for m, n in zip(made, wanted, strict=True)])
             else:
                 yield pd.Series([], dtype=object)
 
-    return rows.select(*sequences.columns, rolled("lags", "_steps").alias("forecast"))
+    steps_made = F.sequence(F.lit(1), F.floor(F.size("_flat") / width).cast("int"))
+    apart = F.transform(steps_made, lambda k: F.slice("_flat", (k - 1) * width + 1, width))
+    none = F.array().cast("array<array<double>>")
+    flat_rows = rows.select(*sequences.columns, rolled("lags", "_steps").alias("_flat"))
+    return flat_rows.select(*sequences.columns, F.when(F.size("_flat") > 0, apart).otherwise(none).alias("forecast"))
