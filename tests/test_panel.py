@@ -278,6 +278,27 @@ def test_a_cell_reaches_the_second_grouping_in_few_rows(spark):
     assert (row.commit_count, row.commit_authors, row.star_count, row.star_users, row.commit_comments) == (4000, 500, 2000, 0, 4000)
 
 
+def test_many_lines_are_grouped_in_more_tasks(spark, tmp_path, monkeypatch, capsys):
+    """The tasks that group actors grow with the lines, so that a task's groups stay few; rows stay the same."""
+    day = "timestamp_ntz'2020-01-15' + make_dt_interval(int(id % 200))"
+    spark.range(4000, numPartitions=3).selectExpr(
+        "if(id % 53 = 0, NULL, id % 900) AS l_orderkey", "id % 23 AS l_partkey", "if(id % 31 = 0, NULL, id % 12) AS l_suppkey", "int(id % 7) AS l_linenumber",
+        "double(id % 5) AS l_quantity", "double(id) AS l_extendedprice", "(id % 11) / 100 AS l_discount", "0.0D AS l_tax",
+        "element_at(array('A', 'N', 'R'), int(id % 3) + 1) AS l_returnflag", "if(id % 3 = 0, 'F', 'O') AS l_linestatus", f"{day} AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1000).selectExpr("id % 800 AS o_orderkey", "id % 9 AS o_custkey", f"{day} AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    sf = str(tmp_path)
+    assert mapping.tasks_for_events(spark, sf) is None
+    few = mapping.panel(spark, sf).collect()
+    monkeypatch.setattr(mapping, "LINES_A_TASK", 300)
+    assert mapping.tasks_for_events(spark, sf) == 14
+    assert P.actor_partials(mapping.panel_events(spark, sf), 14).rdd.getNumPartitions() == 14
+    many = mapping.panel(spark, sf)
+    many.explain()
+    assert ", 14), REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert sorted(many.collect(), key=str) == sorted(few, key=str) and few
+
+
 def test_panel_of_two_rows_a_line_equals_that_of_all_events(spark, tmp_path):
     """Ends and stars ride on commits and openings; NULLs, repeated orders and lines count as they do in single events."""
     day = "timestamp_ntz'2020-01-15' + make_dt_interval({})"
