@@ -331,3 +331,16 @@ def test_riders_count_as_events_of_their_own(spark):
     assert (one.commit_count, one.commit_authors, one.commit_comments, one.issue_count, one.issue_closed, one.star_count) == (3, 1, 7, 1, 2, 1)
     assert (two.pr_count, two.pr_merged, two.issue_count, two.issue_closed) == (1, 0, 0, 1)
     assert (one.pr_count, two.commit_count, two.star_count) == (None, None, None)
+
+
+def test_events_may_carry_their_quarter(spark):
+    """Events with ``period`` in place of ``ts`` give the same rows, also in years before 1."""
+    days = ["2020-02-01", "2020-03-31", "2020-04-01", "0001-01-01", "-0003-05-01"]
+    made = spark.createDataFrame([(i % 2, 1, d, i % 3, 1) for i, d in enumerate(days * 4)], "repo_id long, kind tinyint, day string, actor long, comments long")
+    timed = made.withColumn("ts", F.col("day").cast("timestamp_ntz")).drop("day")
+    dated = timed.withColumn("period", F.year("ts") * 4 + F.quarter("ts") - 1).drop("ts")
+    wanted, got = P.actor_partials(timed), P.actor_partials(dated)
+    assert wanted.schema == got.schema and wanted.filter("period < 0").count()
+    assert sorted(wanted.collect()) == sorted(got.collect())
+    counted = timed.groupBy("repo_id", F.year("ts").alias("year"), F.quarter("ts").alias("quarter")).agg(F.count("*").alias("commit_count"), F.count_distinct("actor").alias("commit_authors"))
+    assert sorted(P.quarterly_activity(dated).select(counted.columns).collect()) == sorted(counted.collect())
